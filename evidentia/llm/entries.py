@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from evidentia.llm.common import table
+from evidentia.llm.common import stored, table
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import pjpeg
+
+    return pjpeg.digest(stored(pjpeg.encode_column(table(spark, sf_dir, "documents")), "media"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +19,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import langid
+
+    return langid.contract(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import urlfilter
 
