@@ -7,12 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from evidentia.llm.common import stored, table
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import rangecoder
+
+    return rangecoder.digest(stored(rangecoder.encode_column(table(spark, sf_dir, "documents")), "tokens", codec="none"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import pjpeg
 
     return pjpeg.digest(stored(pjpeg.encode_column(table(spark, sf_dir, "documents")), "media"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import toxicity
 
