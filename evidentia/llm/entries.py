@@ -31,12 +31,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import lines
+
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import langid
 
     return langid.contract(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidentia.llm import pieces
+
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import urlfilter
 
