@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidentia.functions.dialect import DUCK, SPARK, Dialect
+from evidentia.plans import python_queries, sql_queries
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def run_sql(spark: SparkSession, sf_dir: str, build: Callable[[Dialect], str]) -> DataFrame:
+    """Run a relational text over the tables it names."""
+    sql = build(SPARK)
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid search: full text and vectors, fused, reranked and gated."""
+    return run_sql(spark, sf_dir, sql_queries.QUERIES["hybrid_search"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found: dict = {k: (lambda spark, sf_dir, b=b: run_sql(spark, sf_dir, b)) for k, b in sql_queries.QUERIES.items()}
+    return found | python_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: b(DUCK) for k, b in sql_queries.QUERIES.items()}
