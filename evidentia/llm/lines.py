@@ -9,7 +9,8 @@ template found in at least ``min_docs`` documents recurs: its lines are dropped,
 occurrence (smallest id, then line), so that a group of copies keeps one whole text.
 
 Everything is a group by with partial sums or an equality join on hashed paths, so no leaf's lines
-ever meet in one task. Lines of fewer than ``min_words`` words are never dropped. Null and empty texts
+ever meet in one task. The two joins with texts are sort-merge joins at every size: their other sides
+grow with the input and are never broadcast. Lines of fewer than ``min_words`` words are never dropped. Null and empty texts
 have no lines to drop and stay as they are. Rows that share an id count as one document and lose the
 same lines; rows whose id is null keep everything. Extra columns pass through unread.
 """
@@ -49,7 +50,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     distinct = stored(distinct.select("leaf", "line", "n", "rep.*"), "distinct-lines")
     # the words of one line each, from its representative document
     wanted = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "leaf", "line", "n")).alias("wanted"))
-    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
+    text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
     words = text.select("x.leaf", "x.line", "x.n", F.expr(_words("element_at(all, x.line_no + 1)")).alias("w"))
     words = words.where(F.xxhash64("w") == F.col("line"))  # rows that share an id may differ in text
     words = stored(words.select("leaf", "line", "n", F.size("w").alias("size"), F.posexplode("w").alias("at", "w")).select("leaf", "line", "n", "size", F.xxhash64("at", "w").alias("word")).distinct(), "words")
@@ -70,7 +71,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **params) ->
     """The columns of docs, with recurring lines taken out of the text, and n_lines and n_dropped (long)."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     drop = recurring(own, **params).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set("line_no")).alias("__drop"))
-    joined = docs.join(drop, F.col(f"`{key}`").cast("long") == F.col("__doc"), "left")
+    joined = docs.join(drop.hint("merge"), F.col(f"`{key}`").cast("long") == F.col("__doc"), "left")
     n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"`{text}`"), "\n")))
     new = F.when(F.col("__drop").isNull(), F.col(f"`{text}`").cast("string")).otherwise(_kept(f"`{text}`", "__drop"))
     gone = F.when(F.col(f"`{text}`").isNull() | F.col("__drop").isNull(), 0).otherwise(F.size(F.filter("__drop", lambda i: i < n)))
