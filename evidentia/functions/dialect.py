@@ -64,6 +64,9 @@ class Dialect:
     def distinct(self, xs: str) -> str:
         return f"array_distinct({xs})"
 
+    def distinct_in_order(self, xs: str) -> str:
+        return f"array_distinct({xs})"
+
     def concat(self, *xs: str) -> str:
         return f"concat({', '.join(xs)})"
 
@@ -224,6 +227,9 @@ class Duck(Dialect):
     def distinct(self, xs: str) -> str:
         return f"list_distinct({xs})"
 
+    def distinct_in_order(self, xs: str) -> str:
+        return f"list_filter({xs}, lambda du, di: list_position({xs}, du) = di)"
+
     def concat(self, *xs: str) -> str:
         out = xs[0]
         for x in xs[1:]:

@@ -3,34 +3,55 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.functions.dialect import DUCK, SPARK, Dialect
+from evidentia.functions.dialect import DUCK, SPARK, Pipe
 from evidentia.plans import python_queries, sql_queries
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def run_sql(spark: SparkSession, sf_dir: str, build: Callable[[Dialect], str]) -> DataFrame:
-    """Run a relational text over the tables it names."""
-    sql = build(SPARK)
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+def run_pipe(spark: SparkSession, sf_dir: str, pipe: Pipe, final: str) -> DataFrame:
+    """Run a pipe's relations, each analysed once as a DataFrame; the views of this run go when it is built."""
+    text, run = " ".join([*pipe.parts.values(), final]), uuid.uuid4().hex[:8]
+    names = {t: f"{t}_{run}" for t in (*TABLES, *pipe.parts)}
+    words = re.compile(r"\b(from|join)(\s+)(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
+    own = lambda sql: words.sub(lambda m: f"{m[1]}{m[2]}{names[m[3]]} as {m[3]}" if not re.match(r"\s+(?:as\s+)?(?!join\b|on\b|where\b|group\b|order\b|lateral\b|left\b|cross\b|union\b|window\b|inner\b)[a-z]\w*", sql[m.end() :]) else f"{m[1]}{m[2]}{names[m[3]]}", sql)
+    made = []
+    try:
+        for t in TABLES:
+            if t not in pipe.parts and re.search(rf"\b(?:from|join)\s+{t}\b", text):
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(names[t])
+                made.append(names[t])
+        for k, sql in pipe.parts.items():
+            spark.sql(own(sql)).createOrReplaceTempView(names[k])
+            made.append(names[k])
+        return spark.sql(own(final))
+    finally:
+        for v in made:
+            spark.catalog.dropTempView(v)
+
+
+def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return run_pipe(spark, sf_dir, *sql_queries.QUERIES[name](SPARK))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: full text and vectors, fused, reranked and gated."""
-    return run_sql(spark, sf_dir, sql_queries.QUERIES["hybrid_search"])
+    return run(spark, sf_dir, "hybrid_search")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found: dict = {k: (lambda spark, sf_dir, b=b: run_sql(spark, sf_dir, b)) for k, b in sql_queries.QUERIES.items()}
+    found: dict = {k: (lambda spark, sf_dir, k=k: run(spark, sf_dir, k)) for k in sql_queries.QUERIES}
     return found | python_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: b(DUCK) for k, b in sql_queries.QUERIES.items()}
+    out = {}
+    for k, build in sql_queries.QUERIES.items():
+        pipe, final = build(DUCK)
+        out[k] = pipe.sql(final)
+    return out
