@@ -312,6 +312,7 @@ class Pipe:
     def __init__(self, d: Dialect) -> None:
         self.d = d
         self.parts: dict[str, str] = {}
+        self.kept: set[str] = set()
 
     def add(self, name: str, sql: str) -> str:
         if name in self.parts and self.parts[name] != sql:
@@ -319,6 +320,11 @@ class Pipe:
         self.parts[name] = sql
         return name
 
+    def keep(self, name: str) -> str:
+        """Mark a relation that several others read: Spark computes it once."""
+        self.kept.add(name)
+        return name
+
     def columns(self, name: str, source: str, keep: str = "*", **new: str) -> str:
         return self.add(name, f"select {keep}{''.join(f', {x} as {k}' for k, x in new.items())} from {source}")
 

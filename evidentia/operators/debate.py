@@ -228,7 +228,7 @@ def relation_texts(p: Pipe, name: str, source: str, single: bool = False) -> str
         "negated": f"({d.overlap('c_terms', d.strings(sorted(W.NEGATION_CUES)))} or {d.matches(low, chr(92) + 'b(?:no|not|cannot|doesn' + chr(91) + chr(39) + '’]?t)' + chr(92) + 'b')})",
     }
     kept = ", ".join(f"{k}_{x}" for k in "cf" for x in ("terms", *T.MECHANISM, "polarity", "con"))
-    return p.columns(name, f"{name}_g", keep=f"card_id, front, {kept}", **slots, **cues)
+    return p.keep(p.columns(name, f"{name}_g", keep=f"card_id, front, {kept}", **slots, **cues))
 
 
 def relation_claims(p: Pipe, name: str, source: str, x: str = "text") -> str:
@@ -237,8 +237,8 @@ def relation_claims(p: Pipe, name: str, source: str, x: str = "text") -> str:
     structured_claim(p, f"{name}_s", source, x)
     T.add_mechanism(p, f"{name}_m", f"{name}_s", "q", x)
     add_concepts(p, f"{name}_c", f"{name}_m", q="q")
-    slot = lambda v: d.filter(d.map(T.terms(d, v), "t", slot_term(d, "t")), "t", "t <> ''")
-    return p.columns(name, f"{name}_c", **{f"z_{k}": slot(k) for k in ("subject", "target_actor", "target_action", "target_object", "effect", "relation_text")})
+    slot = lambda v: d.sort(d.filter(d.map(T.terms(d, v), "t", slot_term(d, "t")), "t", "t <> ''"))
+    return p.keep(p.columns(name, f"{name}_c", **{f"z_{k}": slot(k) for k in ("subject", "target_actor", "target_action", "target_object", "effect", "relation_text")}))
 
 
 def relationships(p: Pipe, name: str, pairs: str, claim: str, card: str, single: bool = False) -> str:
@@ -247,7 +247,7 @@ def relationships(p: Pipe, name: str, pairs: str, claim: str, card: str, single:
     p.add(f"{name}_j", f"select q.*, c.*, pr.retrieval_score from {pairs} pr join {claim} q on q.query_id = pr.query_id join {card} c on c.card_id = pr.card_id")
     sources = ("text",) if single else ("section", "tag", "card_name", "citation", "highlights", "body")
     every = d.distinct(d.concat(*(f"slot_{s}" for s in sources))) if len(sources) > 1 else d.distinct("slot_text")
-    p.columns(f"{name}_k", f"{name}_j", slot_all=every)
+    p.keep(p.columns(f"{name}_k", f"{name}_j", slot_all=every))
     number = lambda x: f"{x}e0"
     weights = d.concat(*(d.map(d.filter(f"slot_{s}", "o", "o = m"), "o", number(W.SOURCE_WEIGHTS[s])) for s in sources)) if len(sources) > 1 else d.map(d.filter("slot_text", "o", "o = m"), "o", "1.0e0")
     most = (lambda xs: f"coalesce(array_max({xs}), 0e0)") if d.name == "spark" else (lambda xs: f"coalesce(list_max({xs}), 0e0)")
@@ -294,6 +294,7 @@ def relationships(p: Pipe, name: str, pairs: str, claim: str, card: str, single:
     )
     low = lambda s: f"case when {'true' if s == 'relation' else s + ' <> ' + chr(39) * 2} and k_{s} < 0.2e0 then 'missing {s}' end"
     warnings = ["case when k_target_object >= 0.35e0 and greatest(k_subject, k_target_actor) < 0.2e0 then 'impact-heavy match' end", "case when k_target_action >= 0.55e0 and k_target_object >= 0.35e0 and k_subject < 0.2e0 then 'effect-only match' end", *(low(s) for s in ("subject", "relation", "target_actor", "target_action", "target_object")), "case when coverage_0 >= 0.25e0 and source_quality < 0.45e0 then 'low source quality' end"]
+    p.keep(f"{name}_s")
     p.columns(f"{name}_t", f"{name}_s", coverage=d.round("coverage_0"), warnings=d.not_null(d.array(*warnings)), overlap=d.ratio(d.size(d.inter("q_con", "c_con")), d.size("q_con")), front_overlap=d.ratio(d.size(d.inter("q_con", "f_con")), d.size("q_con")))
     T.add_match(p, f"{name}_u", f"{name}_t")
     p.columns(f"{name}_v0", f"{name}_u", keep="* exclude (m_actor, m_cause, m_effect, m_object, m_phrases, m_specific, m_common, mech), mech as mech_c" if d.name == "duckdb" else "* except (m_actor, m_cause, m_effect, m_object, m_phrases, m_specific, m_common, mech), mech as mech_c")

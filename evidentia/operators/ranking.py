@@ -83,14 +83,14 @@ def card_features(p: Pipe, name: str = "card_features", only: str | None = None)
     keep = "card_id, section, tag, card_name, author, year, citation, document, highlight, s_section, s_tag, s_highlight, s_body, s_citation, mech_text"
     strength = "(case when highlight <> '' then 0.45e0 else 0e0 end + case when coalesce(citation, '') <> '' then 0.2e0 else 0e0 end + case when coalesce(card_name, '') <> '' then 0.15e0 else 0e0 end + case when coalesce(author, '') <> '' then 0.1e0 else 0e0 end + case when coalesce(year, 0) <> 0 then 0.1e0 else 0e0 end)"
     p.columns(f"{name}_h", f"{name}_g", keep=keep, evidence_strength=d.round(f"least({strength}, 1e0)"))
-    return T.add_mechanism(p, name, f"{name}_h", "c", "mech_text")
+    return p.keep(T.add_mechanism(p, name, f"{name}_h", "c", "mech_text"))
 
 
 def claim_features(p: Pipe, name: str = "claim_features", source: str | None = None, x: str = "text") -> str:
     """Per claim: its mechanism (prefix q) and q_all, the terms that candidates are measured by."""
     d = p.d
     T.add_mechanism(p, f"{name}_m", source or claims(p), "q", x)
-    return p.columns(name, f"{name}_m", q_all=d.minus(d.union("q_terms", "q_phrases", "q_object"), "q_generic"))
+    return p.keep(p.columns(name, f"{name}_m", q_all=d.minus(d.union("q_terms", "q_phrases", "q_object"), "q_generic")))
 
 
 def term_weight(p: Pipe, xs: str) -> str:
@@ -145,7 +145,8 @@ def full_context(p: Pipe, name: str, candidates: str, features: str, claim: str)
     capped = f"greatest(0e0, least(1e0, case relationship when 'IRRELEVANT' then least({conf}, 0.2e0) when 'BACKGROUND' then least({conf}, 0.55e0) else {conf} end))"
     reason = f"case when {d.size('q_all')} = 0 then 'empty query' when section_only then 'matches section but not card mechanism' when relationship = 'IRRELEVANT' then 'topic and mechanism mismatch' when relationship = 'BACKGROUND' then 'background topic overlap without usable mechanism match' when relevance_score < 0.18e0 then 'low relevance score' end"
     p.columns(f"{name}_r", f"{name}_p", confidence=f"case when {d.size('q_all')} = 0 then 0e0 else {d.round(capped)} end", rejection_reason=reason)
-    return p.add(name, f"select *, cast(row_number() over (partition by query_id order by relevance_score desc, retrieval_score desc, card_id) as int) as rerank from {name}_r")
+    keep = "query_id, card_id, retrieval_score, h_tag, h_highlight, h_body, h_citation, h_section, relevance_score, topic_match, mech, warrant_match, evidence_strength, confidence, relationship, rejection_reason"
+    return p.add(name, f"select {keep}, cast(row_number() over (partition by query_id order by relevance_score desc, retrieval_score desc, card_id) as int) as rerank from {name}_r")
 
 
 def gate(p: Pipe, name: str, source: str) -> str:

@@ -39,7 +39,7 @@ def index_terms(p: Pipe, name: str = "doc_terms") -> str:
     d = p.d
     text = "concat_ws(' ', tag, card_name, citation, body)"
     p.columns(f"{name}_0", cards(p), keep="card_id", words=d.find_all(f"lower({text})", WORD))
-    return p.columns(name, f"{name}_0", dl=d.size("words"))
+    return p.keep(p.columns(name, f"{name}_0", dl=d.size("words")))
 
 
 def bm25(p: Pipe, name: str = "fts", source: str | None = None, k: int = 50, text: str = "text") -> str:
@@ -62,7 +62,7 @@ def bm25(p: Pipe, name: str = "fts", source: str | None = None, k: int = 50, tex
     )
     p.add(f"{name}_mode", f"select *, max(case when n_matched = n_terms then 1 else 0 end) over (partition by query_id) as has_and from {name}_hits")
     p.add(f"{name}_kept", f"select query_id, card_id, bm25, cast(n_matched as int) as n_matched, cast(n_terms as int) as n_terms from {name}_mode where has_and = 0 or n_matched = n_terms")
-    return top(p, name, f"{name}_kept", "bm25 desc, card_id", k)
+    return p.keep(top(p, name, f"{name}_kept", "bm25 desc, card_id", k))
 
 
 def rank_score(p: Pipe, x: str) -> str:
@@ -164,7 +164,7 @@ def fuse(p: Pipe, name: str, sources: dict[str, str], k: int = RRF_K, limit: int
         f"{name}_sum",
         f"select query_id, card_id, {d.round(f'sum(1e0 / ({k} + rank))', 6)} as retrieval_score, min(rank) as best_rank, min(src * 1000000 + rank) as seen, {d.join(d.collect(chr(40) + 'source || ' + d.lit(':') + ' || cast(rank as varchar(9))' + chr(41), 'source'), ',')} as source_ranks from {name}_best group by query_id, card_id",
     )
-    return top(p, name, f"{name}_sum", "retrieval_score desc, best_rank, seen, card_id", limit)
+    return p.keep(top(p, name, f"{name}_sum", "retrieval_score desc, best_rank, seen, card_id", limit))
 
 
 # ---- filters ----

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.functions.dialect import DUCK, SPARK, Pipe
 from evidentia.plans import python_queries, sql_queries
+from evidentia.session import materialise
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -27,7 +28,10 @@ def run_pipe(spark: SparkSession, sf_dir: str, pipe: Pipe, final: str) -> DataFr
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(names[t])
                 made.append(names[t])
         for k, sql in pipe.parts.items():
-            spark.sql(own(sql)).createOrReplaceTempView(names[k])
+            df = spark.sql(own(sql))
+            if k in pipe.kept:
+                df = materialise(df, k)
+            df.createOrReplaceTempView(names[k])
             made.append(names[k])
         return spark.sql(own(final))
     finally:
