@@ -72,7 +72,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **params) ->
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     drop = recurring(own, **params).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set("line_no")).alias("__drop"))
     joined = docs.join(drop.hint("merge"), F.col(f"`{key}`").cast("long") == F.col("__doc"), "left")
-    n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.split(F.col(f"`{text}`"), "\n")))
-    new = F.when(F.col("__drop").isNull(), F.col(f"`{text}`").cast("string")).otherwise(_kept(f"`{text}`", "__drop"))
-    gone = F.when(F.col(f"`{text}`").isNull() | F.col("__drop").isNull(), 0).otherwise(F.size(F.filter("__drop", lambda i: i < n)))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], n.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
+    source = F.col(f"`{text}`")
+    n = F.when(source.isNull(), 0).otherwise(F.size(F.split(source, "\n")))
+    # counted ahead of the new text, whose name must not be taken for the old one's
+    joined = joined.withColumn("__n", n).withColumn("__gone", F.coalesce(F.size(F.filter("__drop", lambda i: i < F.col("__n"))), F.lit(0)))
+    joined = joined.withColumn("__gone", F.when(F.col("__drop").isNull(), 0).otherwise(F.col("__gone")))
+    new = F.when(F.col("__drop").isNull(), source.cast("string")).otherwise(_kept(f"`{text}`", "__drop"))
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col("__n").cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_dropped"))
