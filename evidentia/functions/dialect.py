@@ -45,6 +45,10 @@ class Dialect:
     def map(self, xs: str, var: str, body: str) -> str:
         return f"transform({xs}, {self.fn(var, body)})"
 
+    def let(self, x: str, var: str, body: str) -> str:
+        """body with var bound to x: an optimiser that inlines columns can't move x into an inner lambda."""
+        return f"element_at({self.map(self.array(x), var, body)}, 1)"
+
     def fold(self, xs: str, zero: str, acc: str, var: str, body: str) -> str:
         return f"aggregate({xs}, {zero}, ({acc}, {var}) -> {body})"
 
@@ -209,6 +213,9 @@ class Duck(Dialect):
     def map(self, xs: str, var: str, body: str) -> str:
         return f"list_transform({xs}, {self.fn(var, body)})"
 
+    def let(self, x: str, var: str, body: str) -> str:
+        return f"list_extract({self.map(self.array(x), var, body)}, 1)"
+
     def fold(self, xs: str, zero: str, acc: str, var: str, body: str) -> str:
         return f"list_reduce({xs}, lambda {acc}, {var}: {body}, {zero})"
 

@@ -57,9 +57,9 @@ def normalised(d: Dialect, ts: str) -> str:
 
 def _grams(d: Dialect, xs: str) -> str:
     """2- and 3-grams of an array in which words that may not stand in a phrase are null."""
-    two = d.map(d.seq("1", f"{d.size(xs)} - 1"), "i", f"{d.at(xs, 'i')} || '_' || {d.at(xs, 'i + 1')}")
-    three = d.map(d.seq("1", f"{d.size(xs)} - 2"), "i", f"{d.at(xs, 'i')} || '_' || {d.at(xs, 'i + 1')} || '_' || {d.at(xs, 'i + 2')}")
-    return d.not_null(d.concat(two, three))
+    two = d.map(d.seq("1", f"{d.size('gw')} - 1"), "i", f"{d.at('gw', 'i')} || '_' || {d.at('gw', 'i + 1')}")
+    three = d.map(d.seq("1", f"{d.size('gw')} - 2"), "i", f"{d.at('gw', 'i')} || '_' || {d.at('gw', 'i + 1')} || '_' || {d.at('gw', 'i + 2')}")
+    return d.let(xs, "gw", d.not_null(d.concat(two, three)))
 
 
 def add_phrases(p: Pipe, name: str, source: str, **texts: str) -> str:
@@ -97,8 +97,8 @@ def add_mechanism(p: Pipe, name: str, source: str, prefix: str, text: str) -> st
             f"{k}_terms": terms(d, text),
             f"{k}_surface": d.distinct(d.filter(d.find_all(f"lower({text})", TERM.replace("A-Z", "")), "t", f"not ({d.one_of('t', W.STOPWORDS)})")),
             f"{k}_form": f"case when {because} then 1 when {verb} then 2 else 0 end",
-            f"{k}_left": f"case when {because} then {d.extract(text, '(?is)^(.*?)' + BECAUSE, 1)} when {verb} then {d.extract(text, r'(?i)([^\n]+?)' + VERB + r'([^\n]+)', 1)} else {text} end",
-            f"{k}_right": f"case when {because} then {d.extract(text, '(?i)' + BECAUSE, 1)} when {verb} then {d.extract(text, r'(?i)([^\n]+?)' + VERB + r'([^\n]+)', 2)} else '' end",
+            f"{k}_left": f"case when {because} then {d.extract(text, '(?is)^(.*?)' + BECAUSE, 1)} when {verb} then {d.extract(text, r'(?i)(?:^|\n)([^\n]+?)' + VERB + r'([^\n]+)', 1)} else {text} end",
+            f"{k}_right": f"case when {because} then {d.extract(text, '(?i)' + BECAUSE, 1)} when {verb} then {d.extract(text, r'(?i)(?:^|\n)([^\n]+?)' + VERB + r'([^\n]+)', 2)} else '' end",
         },
     )
     p.columns(

@@ -82,7 +82,7 @@ def debate_query(p: Pipe, name: str, source: str, x: str = "text") -> str:
 
 
 def _unique_terms(d: Dialect, x: str) -> str:
-    return d.filter(d.distinct_in_order(d.find_all(f"lower({x})", T.TOKEN.replace("A-Z", ""))), "t", d.has(T.terms(d, x), "t"))
+    return d.let(T.terms(d, x), "tt", d.filter(d.distinct_in_order(d.find_all(f"lower({x})", T.TOKEN.replace("A-Z", ""))), "t", d.has("tt", "t")))
 
 
 def _words(d: Dialect, xs: str, n: int) -> str:
