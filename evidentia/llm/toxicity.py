@@ -1,11 +1,12 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-Words (``\\w+`` of the lower-cased text) are hashed to embeddings; filters of several widths slide
-over the whole text, each filter's maximum feeds a logistic output. Embedding rows start at zero and
-only rows seen in training are kept, so an unseen word is neutral. Thresholds are calibrated by
-language on rows held back from fitting: a text's language is guessed from its own frequent words
-(learned from the training rows' lang), and the language's threshold shifts the logit so that 0.5 is
-the boundary everywhere. Labels, lang, source and ids are never inputs of a score.
+Words (``\\w+`` of the lower-cased text) and their beginnings are hashed, and a word's embedding is the
+sum of theirs, so that inflected forms share. Filters of several widths slide over the whole text,
+each filter's maximum feeds a logistic output. Only features seen in several training texts have an
+embedding, so an unseen word is neutral. Thresholds are calibrated by language on rows held back from
+fitting: a text's language is guessed from its own frequent words (learned from the training rows'
+lang), and the language's threshold shifts the logit so that 0.5 is the boundary everywhere. Labels,
+lang, source and ids are never inputs of a score.
 
 Fitting uses a bounded, documented sample of labelled rows (``max_rows``), chosen by a hash of the id;
 scoring covers every row and every word. Null and empty texts have no words and get the score of an
@@ -32,24 +33,44 @@ DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 MAX_ROWS = 4000
+PREFIXES = (4, 5, 6, 7, 8)  # beginnings of a word that count beside it
+MIN_TEXTS = 2  # training texts that a feature must stand in to get an embedding
 GAP = max(WIDTHS) - 1
 WORDS = re.compile(r"\w+")
 CACHED = 400_000
 STEP = 1 << 16  # words that pass through the filters at once
 
 
+def _buckets(word: str) -> list[int]:
+    """Hashed features of a word: itself and its longer beginnings, so that inflected forms share."""
+    forms = [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in forms]
+
+
 class _Vocabulary(dict):
-    """Word to row of the kept embeddings (0: the zero row); forgets everything when full."""
+    """Word to row of ``table``, the sums of its features' embeddings (row 0 is zero)."""
 
-    def __init__(self, rows: dict[int, int]) -> None:
-        self.rows = rows
+    def __init__(self, rows: dict[int, int], emb: np.ndarray) -> None:
+        self.rows, self.emb = rows, emb
+        self.table = np.zeros((CACHED + 1, emb.shape[1]), np.float32)
+        self.used = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        row = self[word] = self.rows.get(zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, 0)
+        own = [r for r in map(self.rows.get, _buckets(word)) if r]
+        row = 0
+        if own:
+            self.used += 1
+            row = self.used
+            self.table[row] = self.emb[own].sum(axis=0)
+        self[word] = row
         return row
 
+    def make_room(self, n: int) -> None:
+        """Forgets everything when n more words might not fit."""
+        if len(self) + n > CACHED:
+            self.clear()
+            self.used = 0
+
 
 class Classifier:
     """rows: bucket to embedding row; shift: language to logit of its threshold."""
@@ -62,8 +83,6 @@ class Classifier:
         return {k: v for k, v in self.__dict__.items() if k != "vocab"}
 
     def ids(self, words: list[str]) -> np.ndarray:
-        if "vocab" not in self.__dict__:
-            self.vocab = _Vocabulary(self.rows)
         look = self.vocab.__getitem__
         return np.fromiter(map(look, words), np.int32, len(words))
 
@@ -85,7 +104,7 @@ class Classifier:
         lo, hi = starts - GAP, starts + np.maximum(sizes, 1)
         for at in range(0, len(flat) - GAP, STEP):
             end = min(at + STEP, len(flat) - GAP)
-            x = self.emb[flat[at : end + GAP]]
+            x = self.vocab.table[flat[at : end + GAP]]
             first, last = np.searchsorted(hi, at, "right"), np.searchsorted(lo, end, "left")
             if first >= last:
                 continue
@@ -102,11 +121,28 @@ class Classifier:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         words = [WORDS.findall((t or "").lower()) for t in texts]
-        raw = self.pooled([self.ids(w) for w in words]) @ self.out + self.bias
-        return raw - self.shift[[self.language(w) for w in words]]
+        if "vocab" not in self.__dict__:
+            self.vocab = _Vocabulary(self.rows, self.emb)
+        out, at = np.empty(len(words)), 0
+        while at < len(words):  # as many texts as surely have room in the vocabulary
+            end, n = at + 1, len(words[at])
+            while end < len(words) and n + len(words[end]) <= CACHED // 4:
+                n += len(words[end])
+                end += 1
+            if n > CACHED:  # one text of more words than fit: a table of its own
+                self.vocab = _Vocabulary(self.rows, self.emb)
+                self.vocab.table = np.zeros((n + 1, self.emb.shape[1]), np.float32)
+            else:
+                self.vocab.make_room(n)
+            out[at:end] = self.pooled([self.ids(w) for w in words[at:end]]) @ self.out + self.bias
+            if n > CACHED:
+                del self.vocab
+                self.vocab = _Vocabulary(self.rows, self.emb)
+            at = end
+        return out - self.shift[[self.language(w) for w in words]]
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 6, rate: float = 0.15, seed: int = 7) -> Classifier:
+def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 5, rate: float = 0.15, seed: int = 7) -> Classifier:
     """Adagrad on the logistic loss, gradients through the arg-max windows of each filter."""
     rng = np.random.default_rng(seed)
     words = [WORDS.findall((t or "").lower()) for t in texts]
@@ -121,8 +157,15 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
         for w, n in own[x].most_common(100):
             if n > 0.8 * total[w]:
                 lang_words[w] = k
-    bucket = {w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for d in words for w in set(d)}
-    rows = {b: i + 1 for i, b in enumerate(sorted(set(bucket.values())))}
+    seen_in = Counter(w for d in words for w in set(d))
+    bucket = {w: _buckets(w) for w in seen_in}
+    texts_of = Counter(b for d in words for b in {b for w in set(d) for b in bucket[w]})
+    rows = {b: i + 1 for i, b in enumerate(sorted(b for b, n in texts_of.items() if n >= MIN_TEXTS))}
+    number = {w: i + 1 for i, w in enumerate(bucket)}
+    feats = np.zeros((len(number) + 1, 1 + len(PREFIXES)), np.int32)  # a word's embedding rows; row 0 of either is the gap
+    for w, i in number.items():
+        own = [rows[b] for b in bucket[w] if b in rows]
+        feats[i, : len(own)] = own
     emb = np.zeros((len(rows) + 1, DIM), np.float32)
     filters = [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     out = rng.normal(0, 0.5, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -134,7 +177,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
         model.out = np.zeros_like(out)
         return model
     emb[1:] = rng.normal(0, 0.05, (len(rows), DIM))
-    docs = [np.array([rows[bucket[w]] for w in d], np.int32) for d in words]
+    docs = [np.array([number[w] for w in d], np.int32) for d in words]
     val = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~val)
     g_emb, g_out, g_bias, g_fil = np.full_like(emb, 1e-6), np.full_like(out, 1e-6), 1e-6, [np.full_like(f, 1e-6) for f in filters]
@@ -149,7 +192,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
                 flat[s : s + len(docs[i])] = docs[i]
                 spans.append((s - GAP, s + max(1, len(docs[i]))))
                 s += len(docs[i]) + GAP
-            x, n = emb[flat], len(flat) - GAP
+            x, n = emb[feats[flat]].sum(axis=1), len(flat) - GAP
             peak = np.empty((len(batch), len(out)), np.int64)
             top = np.empty((len(batch), len(out)), np.float32)
             for k, f in enumerate(filters):
@@ -178,9 +221,9 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
                     g_fil[k][i] += grad**2
                     f[i] -= rate * grad / np.sqrt(g_fil[k][i])
             hit = np.flatnonzero(np.abs(d_x).sum(axis=1))
-            ids, where = np.unique(flat[hit], return_inverse=True)
+            ids, where = np.unique(feats[flat[hit]], return_inverse=True)
             grad = np.zeros((len(ids), DIM), np.float32)
-            np.add.at(grad, where, d_x[hit])
+            np.add.at(grad, where.reshape(-1), np.repeat(d_x[hit], feats.shape[1], axis=0))
             grad[ids == 0] = 0
             g_emb[ids] += grad**2
             emb[ids] -= rate * grad / np.sqrt(g_emb[ids])
