@@ -43,7 +43,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no): lines to drop. docs: doc_id, text."""
     lines = stored(_lines(docs, min_words), "lines")
-    leaves = lines.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    # what is joined with hot leaves is stored first, so that both sides are dealt out for the join alone and a hot key's rows can be split
+    leaves = stored(lines.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     lines = stored(lines.join(leaves, "leaf", "left_semi"), "leaf-lines")
     first = F.min(F.struct("doc_id", "line_no"))
     distinct = lines.groupBy("leaf", "line", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "line").agg(F.count("*").alias("n"), first.alias("rep"))
@@ -56,10 +57,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     words = stored(words.select("leaf", "line", "n", F.size("w").alias("size"), F.posexplode("w").alias("at", "w")).select("leaf", "line", "n", "size", F.xxhash64("at", "w").alias("word")).distinct(), "words")
     constant = words.groupBy("leaf", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "word")
     template = words.join(constant, ["leaf", "word"]).groupBy("leaf", "line").agg(F.expr("bit_xor(xxhash64(word, 1))").alias("template"), F.count("*").alias("n"), F.max("size").alias("size"))
-    template = template.where(F.col("n") >= F.col("size") * similarity).select("leaf", "line", "template")
+    template = stored(template.where(F.col("n") >= F.col("size") * similarity).select("leaf", "line", "template"), "templates")
     found = stored(lines.join(template, ["leaf", "line"]).select("leaf", "template", "doc_id", "line_no"), "templated")
     common = found.groupBy("leaf", "template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), first.alias("first"))
-    common = common.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
+    common = stored(common.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")), "common")
     return found.join(common, ["leaf", "template"]).where("not (doc_id = first_doc and line_no = first_line)").select("doc_id", "line_no")
 
 
