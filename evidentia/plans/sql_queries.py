@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from evidentia.functions import text as T
 from evidentia.functions.dialect import Dialect, Pipe
+from evidentia.operators import boolean as O
 from evidentia.operators import debate as B
 from evidentia.operators import ranking as K
 from evidentia.operators import retrieval as R
@@ -149,6 +150,20 @@ def fts_prefix_or(p):
     return "select query_id, card_id, cast(n_terms as int) as n_terms, rank from r"
 
 
+BOOLEAN = ('"the and" OR "de la"', "license AND NOT version", "th* NOT (the OR der)", "NEAR(the and, 3)", "(die OR das) und", '"all rights reserved" OR gnu')
+
+
+@query
+def fts_boolean(p):
+    d = p.d
+    R.index_terms(p)
+    p.columns("bw", "doc_terms", keep="card_id, words", joined=f"' ' || {d.join('words', ' ')} || ' '")
+    hits = d.not_null(d.array(*(f"case when {O.condition(d, q.replace('AND NOT', 'NOT'))} then {i} end" for i, q in enumerate(BOOLEAN))))
+    p.columns("bh", "bw", keep="card_id", hits=hits)
+    p.add("bx", d.explode("bh", "hits", "query_no", "card_id"))
+    return "select query_no, card_id from bx"
+
+
 @query
 def like_fallback(p):
     d = p.d

@@ -88,3 +88,26 @@ def test_streamed_index(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
         index.maintain(spark.readStream.schema(schema).parquet(f"{path}/in"), path).awaitTermination()
     assert sorted((r.card_id, r.batch) for r in index.current(spark, path).collect()) == [(1, 0), (2, 1)]
+
+
+def test_schedule():
+    from evidentia.operators.schedule import Probe, replay
+
+    hits = lambda a, n: [(f"{a}{i}", i) for i in range(1, n + 1)]
+    done = replay([Probe(1, "both", hits("a", 20)), Probe(2, "semantic", hits("a", 5)), Probe(3, "semantic", []), Probe(4, "semantic", hits("z", 5)), Probe(5, "lexical", hits("b", 3))], depth=4, target=12, most=16, active=1)
+    assert [p.stopped for p in done] == ["target reached", "no marginal novel evidence", "no marginal novel evidence", "global pool saturation", "not expanded by scheduler budget"]
+    assert [(p.rounds, p.depth, p.novel) for p in done] == [(3, 16, 16), (1, 4, 0), (1, 4, 0), (0, 0, 0), (1, 4, 3)]
+
+
+def test_boolean(spark):
+    import pytest
+
+    from evidentia.functions.dialect import SPARK
+    from evidentia.operators.boolean import condition
+
+    rows = spark.createDataFrame([(1, "free trade helps growth"), (2, "trade wars harm free growth"), (3, "nothing")], "id int, t string").selectExpr("id", "split(t, ' ') as words", "concat(' ', t, ' ') as joined")
+    ask = lambda q: [r.id for r in rows.where(condition(SPARK, q)).orderBy("id").collect()]
+    assert ask("free trade") == [1, 2] and ask('"free trade"') == [1] and ask("trade NOT wars OR nothing") == [1, 3] and ask("(wars OR helps) AND grow*") == [1, 2] and ask("NEAR(trade free, 1)") == [1] and ask("NEAR(free trade, 2)") == [1, 2]
+    for bad in ("AND x", "(a", "a)", "NOT"):
+        with pytest.raises(ValueError):
+            condition(SPARK, bad)
