@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.tokens import encoder
+from evidentia.llm.tokens import BATCH, encoder
 
 SIZE = 1024
 SEGMENTS = 64
-POOL = 8192
+POOL = 2048
 CUT_FROM = 32
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -111,9 +111,9 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: st
             return b
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                keys = b.column(0)[at : at + 256].to_pylist()
-                for doc, ids in zip(keys, enc.encode(b.column(1)[at : at + 256].to_pylist())):
+            for at in range(0, b.num_rows, BATCH):
+                keys = b.column(0)[at : at + BATCH].to_pylist()
+                for doc, ids in zip(keys, enc.encode(b.column(1)[at : at + BATCH].to_pylist())):
                     ids += end
                     total = len(ids) // 4
                     full = total // size * size

@@ -1,7 +1,8 @@
 """Whole-text encoding with a public tokenizer, one lookup for each chunk of text.
 
 A chunk never shares a token with its neighbours: the byte-level and the word-end tokenizers both cut
-before white space that follows other text. Chunks are encoded by the tokenizers library, once per
+before white space that follows other text, and between a run of letters and an ASCII character that
+is none (a combining mark, not being ASCII, stays with its letter). Chunks are encoded by the tokenizers library, once per
 worker and chunk while it is remembered: two generations of a bounded memory, the older one dropped
 when the younger is full.
 """
@@ -13,10 +14,22 @@ import re
 import struct
 
 KEPT = 400_000  # chunks that a worker remembers
-_BYTE_CHUNKS = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"  # ASCII and Latin-1
+_BYTE_CHUNKS = re.compile(rb"[\x20\x09-\x0d]*" + _LETTERS + rb"|[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+_WORD_CHUNKS = re.compile(_LETTERS + rb"|[^\x20\x09-\x0d]+")
+_ONE = re.compile(rb"\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+BATCH = 128  # texts that are encoded together
 _LOADED: dict[str, Encoder] = {}
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -28,7 +41,11 @@ class Encoder:
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         # white space is dropped by word-end tokenizers, and belongs to what follows it in byte-level ones
-        self.chunks = bytes.split if self._drops_space() else _BYTE_CHUNKS.findall
+        self.chunks = (_WORD_CHUNKS if self._drops_space() else _BYTE_CHUNKS).findall
+        self.alphabet = _byte_alphabet()
+        probes = [b"word", b" Word", "é".encode(), " Größe".encode(), b"antidisestablishment", b" ing"]
+        self.lower = self._drops_space()
+        self.direct = all(self._by_model(p) == self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in probes if not (self.lower and p[:1] == b" "))
         self.known: dict[bytes, bytes] = {}  # and, one generation back:
         self.old: dict[bytes, bytes] = {}
 
@@ -36,6 +53,13 @@ class Encoder:
         ids = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a  b\n", "a\tb")]
         return ids[0] == ids[1] == ids[2]
 
+    def _by_model(self, chunk: bytes) -> list[int]:
+        """Ids of a chunk that the tokenizer's preparation would leave whole: straight from its model."""
+        if self.lower:
+            chunk = chunk.decode().lower().encode()
+        word = chunk.decode().replace(" ", self.alphabet[32]) if chunk.isascii() else chunk.decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _learn(self, new: list[bytes]) -> None:
         known, old = self.known, self.old
         unseen = []
@@ -45,6 +69,18 @@ class Encoder:
                 unseen.append(c)
             else:
                 known[c] = ids
+        if self.direct:
+            rest, tokenize, mark, lower = [], self.tokenizer.model.tokenize, self.alphabet[32], self.lower
+            for c in unseen:
+                if c[:1] == b" " and c[1:].isalpha() and not lower:  # the most frequent kind, all ASCII
+                    ids = [t.id for t in tokenize(mark + c[1:].decode())]
+                elif _ONE.fullmatch(c):
+                    ids = self._by_model(c)
+                else:
+                    rest.append(c)
+                    continue
+                known[c] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+            unseen = rest
         for at in range(0, len(unseen), 20_000):
             own = unseen[at : at + 20_000]
             for c, e in zip(own, self.tokenizer.encode_batch_fast([c.decode() for c in own], add_special_tokens=False)):
