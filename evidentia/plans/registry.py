@@ -15,6 +15,12 @@ from evidentia.session import materialise
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text work is heavy for its bytes: a table of fewer partitions than the cluster has cores is dealt out over them; larger ones stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def run_pipe(spark: SparkSession, sf_dir: str, pipe: Pipe, final: str) -> DataFrame:
     """Run a pipe's relations, each analysed once as a DataFrame; the views of this run go when it is built."""
     text, run = " ".join([*pipe.parts.values(), final]), uuid.uuid4().hex[:8]
@@ -25,7 +31,8 @@ def run_pipe(spark: SparkSession, sf_dir: str, pipe: Pipe, final: str) -> DataFr
     try:
         for t in TABLES:
             if t not in pipe.parts and re.search(rf"\b(?:from|join)\s+{t}\b", text):
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(names[t])
+                df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+                (spread(df) if t == "documents" else df).createOrReplaceTempView(names[t])
                 made.append(names[t])
         for k, sql in pipe.parts.items():
             df = spark.sql(own(sql))
