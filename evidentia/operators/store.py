@@ -18,13 +18,13 @@ def _register(f):
 def spans(p: Pipe) -> str:
     """Highlight runs of a card: its lines, with formatting that repeats on neighbours."""
     d = p.d
-    p.columns("sp0", cards(p), keep="card_id", lines=d.slice(d.split("body", "\n"), "1", "40"))
+    p.columns("sp0", cards(p), keep="card_id", lines=d.split("body", "\n"))
     p.add("sp1", d.explode("sp0", d.seq("1", d.size("lines")), "order_index", "card_id, lines"))
     return p.columns(
         "spans",
         "sp1",
         keep="card_id, cast(order_index as int) as order_index",
-        text=f"substring({d.at('lines', 'cast(order_index as int)')}, 1, 60)",
+        text=d.at("lines", "cast(order_index as int)"),
         color="case cast(floor((order_index - 1) / 2.0) as int) % 3 when 0 then 'yellow' when 1 then 'green' else 'cyan' end",
         paragraph_index="cast(floor((order_index - 1) / 3.0) as int)",
         bold="(order_index % 5) = 0",

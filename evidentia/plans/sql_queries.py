@@ -139,12 +139,12 @@ def fts_rank_score(p):
 @query
 def fts_prefix_or(p):
     d = p.d
-    p.columns("q0", claims(p), keep="query_id", terms=d.filter(R.plain_terms(p, "text"), "t", "length(t) >= 6"))
+    p.columns("q0", claims(p), keep="query_id", terms=d.filter(R.plain_terms(p, "text"), "t", "length(t) >= 2"))
     p.add("q", d.explode("q0", "terms", "term", "query_id"))
     R.index_terms(p)
     p.add("w", d.explode("doc_terms", d.distinct("words"), "word", "card_id"))
-    p.add("v", "select distinct word from w where length(word) >= 6")
-    p.add("m", f"select q.query_id, q.term, v.word from q join v on substring(v.word, 1, 6) = substring(q.term, 1, 6) and {d.starts('v.word', 'q.term')}")
+    p.add("v", "select distinct word from w where length(word) >= 2")
+    p.add("m", f"select q.query_id, q.term, v.word from q join v on substring(v.word, 1, 2) = substring(q.term, 1, 2) and {d.starts('v.word', 'q.term')}")
     p.add("h", "select m.query_id, w.card_id, count(distinct m.term) as n_terms from m join w on w.word = m.word group by m.query_id, w.card_id")
     R.top(p, "r", "h", "n_terms desc, card_id", 20)
     return "select query_id, card_id, cast(n_terms as int) as n_terms, rank from r"
