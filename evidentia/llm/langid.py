@@ -231,4 +231,4 @@ def predict(docs: DataFrame, model: BiGRU, text: str = "text", keep: list[str] |
 def contract(docs: DataFrame) -> DataFrame:
     model = train(docs, where=fold(F.col("doc_id"), 4) != 2)
     found = predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

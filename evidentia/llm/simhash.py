@@ -18,7 +18,8 @@ reports a spanning forest of its links, never all pairs; components stay the sam
 
 Nulls and empty texts: no word, fingerprint zero, linked like any other. Fewer than three words:
 one shingle of all of them. Repeated doc_ids: each row keeps its own fingerprint and they share the
-id's node. An empty table gives an empty result.
+id's node. A row without an id has its fingerprint's component, null if all that share it have none.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -262,8 +263,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     several = own.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi").select("doc_id")
     ties = own.join(several, "doc_id", "left_semi").distinct().join(reps, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     label = components(reps.select("node").distinct(), by_id.unionByName(ties))
-    of_fp = reps.join(label, "node").select("fp", "component")
-    return own.join(of_fp, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
+    of_fp = reps.join(label, "node", "left").select("fp", "component")
+    return own.join(of_fp, "fp", "left").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -298,4 +298,4 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels, where=fold(F.col("doc_id"), 5) != 0)
     found = score(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
