@@ -38,10 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the smallest id, one row of it."""
+    """Keeps one document of each group of near-duplicates: the smallest id, one row of it. Rows without an id stay."""
     group = simhash.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__doc"), F.col("component_id").alias("__group")).distinct()
     kept = docs.join(group.where("__doc = __group").select("__doc"), F.col("doc_id") == F.col("__doc"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
