@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.tokens import encoder
+from evidentia.llm.tokens import BATCH, encoder
 
 BLOCK = 4096
 LANES = 1024
@@ -39,73 +39,73 @@ TOKENIZER = "word_bpe_49k.json"
 MAGIC, VERSION = b"EVTK", 1
 
 SYMBOLS = 3 + BLOCK.bit_length()  # order-2 hit, order-1 hit, new id, rank classes
-TABLE = 1 << 12
+TABLE = 1 << 11
 ONE = 1 << 12
 CLASS = np.array([x.bit_length() for x in range(BLOCK + 1)], np.int64)
+FLOOR = np.arange(SYMBOLS + 1, dtype=np.int32)  # every symbol keeps a frequency of one
+RAISE = np.array([[(ONE >> 5) * (j > s) for j in range(SYMBOLS + 1)] for s in range(SYMBOLS)], np.int32)
 
 
 class _Model:
-    """State of all lanes; the first ``n`` of them are at work."""
+    """State of all lanes; the first ``n`` of them are at work. Distributions are kept as cumulative sums, which mix like the frequencies themselves."""
 
-    def __init__(self, lanes: int, alphabet: int) -> None:
-        self.alphabet = alphabet
+    def __init__(self, lanes: int) -> None:
         self.pred1 = np.full(lanes * TABLE, -1, np.int32)  # id << 2 | confidence
         self.pred2 = np.full(lanes * TABLE, -1, np.int32)
-        self.rank = np.full(lanes * alphabet, -1, np.int16)
-        self.by_rank = np.zeros(lanes * BLOCK, np.int32)
-        self.known = np.zeros(lanes, np.int64)
-        start = np.full(SYMBOLS, (ONE - 2) // SYMBOLS, np.int32)
+        start = (FLOOR * ((ONE - 64) // SYMBOLS)).astype(np.int32)
         self.dist = [np.tile(start, (lanes * k, 1)) for k in (1, 10, 10)]
-        self.weight = np.full((3, lanes), ONE // 3, np.int32)
+        self.weight = np.full((3, lanes, 1), ONE // 3, np.int32)
         self.lane = np.arange(lanes)
+        self.slot, self.ten = self.lane * TABLE, self.lane * 10
         self.last1 = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
 
     def look(self, n: int) -> np.ndarray:
         """Cumulative frequencies (n, SYMBOLS + 1) of the next symbol."""
-        lane = self.lane[:n]
-        self.at1 = lane * TABLE + ((self.last1[:n] * 40503) >> 3 & (TABLE - 1))
-        self.at2 = lane * TABLE + ((self.last2[:n] * 51787 + self.last1[:n] * 40503) >> 3 & (TABLE - 1))
-        p1, p2 = self.pred1[self.at1], self.pred2[self.at2]
-        self.id1, self.id2 = p1 >> 2, p2 >> 2
-        same = (self.id1 == self.id2).astype(np.int64)
-        c1, c2 = np.where(p1 < 0, 0, (p1 & 3) + 1), np.where(p2 < 0, 0, (p2 & 3) + 1)
-        self.rows = [lane, lane * 10 + c1 * 2 + (p2 < 0), lane * 10 + c2 * 2 + same]
-        self.got = [d[r] for d, r in zip(self.dist, self.rows)]
-        mixed = self.got[0] * self.weight[0, :n, None]
-        mixed += self.got[1] * self.weight[1, :n, None]
-        mixed += self.got[2] * self.weight[2, :n, None]
+        h1 = self.last1[:n] * 40503
+        self.at1 = self.slot[:n] + (h1 >> 3 & (TABLE - 1))
+        self.at2 = self.slot[:n] + ((self.last2[:n] * 51787 + h1) >> 3 & (TABLE - 1))
+        self.p1, self.p2 = self.pred1[self.at1], self.pred2[self.at2]
+        self.id1, self.id2 = self.p1 >> 2, self.p2 >> 2  # -1 without a prediction
+        c1, c2 = np.where(self.p1 < 0, 0, (self.p1 & 3) + 1), np.where(self.p2 < 0, 0, (self.p2 & 3) + 1)
+        self.rows = (self.lane[:n], self.ten[:n] + c1 * 2 + (self.p2 < 0), self.ten[:n] + c2 * 2 + (self.id1 == self.id2))
+        self.got = [np.take(d, r, axis=0) for d, r in zip(self.dist, self.rows)]
+        mixed = self.got[0] * self.weight[0, :n]
+        mixed += self.got[1] * self.weight[1, :n]
+        mixed += self.got[2] * self.weight[2, :n]
         mixed >>= 12
-        mixed += 1
-        cum = np.zeros((n, SYMBOLS + 1), np.int64)
-        np.cumsum(mixed, axis=1, out=cum[:, 1:])
-        return cum
+        mixed += FLOOR
+        return mixed
 
-    def learn(self, symbol: np.ndarray, ids: np.ndarray, rank: np.ndarray) -> None:
+    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
         n = len(ids)
         lane = self.lane[:n]
-        parts = [g[lane, symbol] + 1 for g in self.got]
-        total = parts[0] + parts[1] + parts[2]
+        parts = np.stack([g[lane, symbol + 1] - g[lane, symbol] + 1 for g in self.got])
+        weight = self.weight[:, :n, 0]
+        weight += ((parts << 12) // parts.sum(axis=0) - weight) >> 5
+        np.maximum(weight, 64, out=weight)
+        up = np.take(RAISE, symbol, axis=0)
         for k in range(3):
-            self.weight[k, :n] += ((parts[k] << 12) // total - self.weight[k, :n]) >> 5
-            np.maximum(self.weight[k, :n], 64, out=self.weight[k, :n])
-            new = self.got[k] - (self.got[k] >> 5)
-            new[lane, symbol] += ONE >> 5
+            new = self.got[k]
+            new -= new >> 5
+            new += up
             self.dist[k][self.rows[k]] = new
-        for pred, at, mine in ((self.pred1, self.at1, self.id1), (self.pred2, self.at2, self.id2)):
-            old = pred[at]
-            hit = (mine == ids) & (old >= 0)
-            weak = ~hit & (old >= 0) & (old & 3 > 1)
-            pred[at] = np.where(hit, np.minimum(old + 1, old | 3), np.where(weak, old - 2, ids << 2))
-        fresh = np.flatnonzero(rank < 0)
-        if len(fresh):
-            known = self.known[fresh]
-            self.rank[fresh * self.alphabet + ids[fresh]] = known
-            self.by_rank[fresh * BLOCK + known] = ids[fresh]
-            self.known[fresh] += 1
+        coded = ids << 2
+        for pred, at, old, mine in ((self.pred1, self.at1, self.p1, self.id1), (self.pred2, self.at2, self.p2, self.id2)):
+            pred[at] = np.where(mine == ids, np.minimum(old + 1, old | 3), np.where((old >= 0) & (old & 3 > 1), old - 2, coded))
         self.last2[:n], self.last1[:n] = self.last1[:n], ids
 
 
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """For each id its rank of first appearance; -1 where it is new."""
+    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    out = rank[inverse]
+    out[first] = -1
+    return out
+
+
 _MASK = np.uint64((1 << 48) - 1)
 _TOP, _BOT = np.uint64(1 << 32), np.uint64(1 << 16)
 _16, _32 = np.uint64(16), np.uint64(32)
@@ -128,11 +128,28 @@ def _settle(low: np.ndarray, rng: np.ndarray, put) -> None:
         rng[i] <<= _16
 
 
+def _settle_tight(low: np.ndarray, rng: np.ndarray, put) -> None:
+    """Settle the lanes whose range is short of _ROOM: each lane by itself, so that a block is coded alike in any company."""
+    i = np.flatnonzero(rng < _ROOM)
+    if len(i):
+        lo, r = low[i], rng[i]
+        _settle(lo, r, lambda j, w: put(i[j], w))
+        low[i], rng[i] = lo, r
+
+
 def _lengths(sizes: np.ndarray) -> list[int]:
     """Lanes at work at each step; sizes descend."""
     return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")).tolist()
 
 
+_ROOM = np.uint64(1 << 17)  # a range that a symbol's lower bits can be coded in without settling first
+
+
+def _bits(symbol: np.ndarray, bits: int) -> np.ndarray:
+    """Lower bits that follow a symbol."""
+    return np.where(symbol == 2, bits, np.maximum(symbol - 4, 0))
+
+
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """Coded words of each block of ids under ``alphabet`` (at most 65536)."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
@@ -140,40 +157,37 @@ def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     if not len(sizes) or not sizes[0]:
         return [b""] * len(blocks)
     ids_of = np.zeros((int(sizes[0]), len(order)), np.int32)
+    rank_of = np.zeros((int(sizes[0]), len(order)), np.int32)
     for k, i in enumerate(order):
         ids_of[: sizes[k], k] = blocks[i]
-    model, bits = _Model(len(order), alphabet), max(1, (alphabet - 1).bit_length())
+        rank_of[: sizes[k], k] = _ranks(blocks[i])
+    model, bits = _Model(len(order)), max(1, (alphabet - 1).bit_length())
     low, rng = np.zeros(len(order), np.uint64), np.full(len(order), (1 << 48) - 1, np.uint64)
-    room = 3 * int(sizes[0]) + 8
-    words, used = np.zeros((len(order), room), np.uint16), np.zeros(len(order), np.int64)
+    words, used = np.zeros((len(order), 3 * int(sizes[0]) + 8), np.uint16), np.zeros(len(order), np.int64)
 
     def put(i: np.ndarray, w: np.ndarray) -> None:
         words[i, used[i]] = w
         used[i] += 1
 
     for t, n in enumerate(_lengths(sizes)):
-        ids = ids_of[t, :n]
+        ids, rank = ids_of[t, :n], rank_of[t, :n]
         cum = model.look(n)
         lane = model.lane[:n]
-        rank = model.rank[lane * alphabet + ids].astype(np.int64)
-        symbol = np.where(rank < 0, 2, 3 + CLASS[np.maximum(rank, 0)])
-        symbol = np.where((ids == model.id1) & (model.pred1[model.at1] >= 0), 1, symbol)
-        symbol = np.where((ids == model.id2) & (model.pred2[model.at2] >= 0), 0, symbol)
+        symbol = np.where(rank < 0, 2, 3 + CLASS[rank])
+        symbol = np.where(ids == model.id1, 1, symbol)
+        symbol = np.where(ids == model.id2, 0, symbol)
         lo, r = low[:n], rng[:n]
-        a = cum[lane, symbol].astype(np.uint64)
-        f = cum[lane, symbol + 1].astype(np.uint64) - a
+        a, b = cum[lane, symbol], cum[lane, symbol + 1]
         r //= cum[:, -1].astype(np.uint64)
-        lo += a * r
-        r *= f
+        lo += a.astype(np.uint64) * r
+        r *= (b - a).astype(np.uint64)
+        width = _bits(symbol, bits)
+        _settle_tight(lo, r, put)
+        value = np.where(symbol == 2, ids, np.where(symbol > 4, rank - (1 << np.maximum(symbol - 4, 0)), 0)).astype(np.uint64)
+        r >>= width.astype(np.uint64)
+        lo += value * r
         _settle(lo, r, put)
-        width = np.where(symbol == 2, bits, np.maximum(symbol - 4, 0))
-        i = np.flatnonzero(width)
-        if len(i):
-            value = np.where(symbol == 2, ids, rank - (1 << np.maximum(symbol - 4, 0)))[i].astype(np.uint64)
-            li, ri = lo[i], r[i] >> width[i].astype(np.uint64)
-            lo[i], r[i] = li + value * ri, ri
-            _settle(lo, r, put)
-        model.learn(symbol, ids, rank)
+        model.learn(symbol, ids)
     for shift in (32, 16, 0):
         put(model.lane, (low >> np.uint64(shift)) & np.uint64(0xFFFF))
     out = [b""] * len(blocks)
@@ -188,15 +202,17 @@ def decode_blocks(coded: list[bytes], sizes: list[int], alphabet: int) -> list[n
     if not len(size) or not size[0]:
         return [np.empty(0, np.int32)] * len(coded)
     n_words = np.array([len(coded[i]) // 2 for i in order])
-    words = np.zeros((len(order), int(n_words.max()) + 8), np.uint64)
+    words = np.zeros((len(order), max(3, int(n_words.max()))), np.uint16)
     for k, i in enumerate(order):
         words[k, : n_words[k]] = np.frombuffer(coded[i], "<u2")
-    model, bits = _Model(len(order), alphabet), max(1, (alphabet - 1).bit_length())
+    model, bits = _Model(len(order)), max(1, (alphabet - 1).bit_length())
     low, rng = np.zeros(len(order), np.uint64), np.full(len(order), (1 << 48) - 1, np.uint64)
-    code = words[:, 0] << _32 | words[:, 1] << _16 | words[:, 2]
+    code = words[:, 0].astype(np.uint64) << _32 | words[:, 1].astype(np.uint64) << _16 | words[:, 2].astype(np.uint64)
     at = np.full(len(order), 3, np.int64)
     most = words.shape[1] - 1
     ids_of = np.zeros((int(size[0]), len(order)), np.int32)
+    by_rank, known = np.zeros(len(order) * (BLOCK + 1), np.int32), np.zeros(len(order), np.int64)
+    first = model.lane * (BLOCK + 1)
 
     def put(i: np.ndarray, _) -> None:
         code[i] = (code[i] << _16 & _MASK) | words[i, np.minimum(at[i], most)]
@@ -207,29 +223,27 @@ def decode_blocks(coded: list[bytes], sizes: list[int], alphabet: int) -> list[n
         lane = model.lane[:n]
         lo, r, c = low[:n], rng[:n], code[:n]
         r //= cum[:, -1].astype(np.uint64)
-        want = np.minimum(((c - lo) & _MASK) // r, (cum[:, -1] - 1).astype(np.uint64)).astype(np.int64)
+        want = np.minimum((c - lo) // r, (cum[:, -1] - 1).astype(np.uint64)).astype(np.int32)
         symbol = (cum[:, 1:] <= want[:, None]).sum(axis=1)
-        a = cum[lane, symbol].astype(np.uint64)
-        f = cum[lane, symbol + 1].astype(np.uint64) - a
-        lo += a * r
-        r *= f
+        a, b = cum[lane, symbol], cum[lane, symbol + 1]
+        lo += a.astype(np.uint64) * r
+        r *= (b - a).astype(np.uint64)
+        width = _bits(symbol, bits).astype(np.uint64)
+        _settle_tight(lo, r, put)
+        r >>= width
+        v = np.minimum((c - lo) // r, (np.uint64(1) << width) - np.uint64(1))
+        lo += v * r
         _settle(lo, r, put)
-        width = np.where(symbol == 2, bits, np.maximum(symbol - 4, 0))
-        value = np.zeros(n, np.int64)
-        i = np.flatnonzero(width)
-        if len(i):
-            wi = width[i].astype(np.uint64)
-            ri = r[i] >> wi
-            v = np.minimum(((code[i] - lo[i]) & _MASK) // ri, (np.uint64(1) << wi) - np.uint64(1))
-            lo[i], r[i] = lo[i] + v * ri, ri
-            value[i] = v
-            _settle(lo, r, put)
-        of_rank = np.where(symbol > 3, value + (1 << np.maximum(symbol - 4, 0)), 0)
-        ids = np.where(symbol == 2, value, model.by_rank[lane * BLOCK + np.minimum(of_rank, BLOCK - 1)])
+        value = v.astype(np.int64)
+        rank = np.where(symbol > 3, value + (1 << np.maximum(symbol - 4, 0)), 0)
+        ids = np.where(symbol == 2, value, by_rank[first[:n] + np.minimum(rank, BLOCK)])
         ids = np.where(symbol == 1, model.id1, np.where(symbol == 0, model.id2, ids)).astype(np.int32)
         ids = np.clip(ids, 0, alphabet - 1)  # only a damaged block leaves the alphabet; its checksum tells
-        rank = model.rank[lane * alphabet + ids].astype(np.int64)
-        model.learn(symbol, ids, rank)
+        new = np.flatnonzero(symbol == 2)
+        if len(new):
+            by_rank[first[new] + known[new]] = ids[new]
+            known[new] += 1
+        model.learn(symbol, ids)
         ids_of[t, :n] = ids
     out: list = [None] * len(coded)
     for k, i in enumerate(order):
@@ -322,9 +336,9 @@ def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id", toke
             return b
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                keys = b.column(0)[at : at + 256].to_pylist()
-                for doc, x in zip(keys, enc.encode(b.column(1)[at : at + 256].to_pylist())):
+            for at in range(0, b.num_rows, BATCH):
+                keys = b.column(0)[at : at + BATCH].to_pylist()
+                for doc, x in zip(keys, enc.encode(b.column(1)[at : at + BATCH].to_pylist())):
                     ids[0].append(doc)
                     ids[1].append(x + end)
                     size += len(x) // 4 + 1
