@@ -278,6 +278,29 @@ def match_locations(p):
     return f"select query_id, card_id, {sorted_words(p, 'h_tag', 'h_highlight', 'h_body', 'h_citation', 'h_section')} from ranked where rerank <= 10"
 
 
+@query
+def assessment_reasons(p):
+    """Why a candidate was scored as it was, in words."""
+    reranked(p)
+    d = p.d
+    said = [f"case when {d.size(f'h_{k}')} > 0 then '{n} matched: ' || {d.join(d.sort(f'h_{k}'), ', ')} end" for k, n in (("tag", "tag"), ("highlight", "highlights"), ("body", "body"), ("citation", "citation"), ("section", "section"))]
+    digits = "cast(cast(floor(mech * 1000 + 0.5e0) as int) as varchar(6))"
+    said += [f"'mechanism match: ' || case when mech >= 1 then '1.000' else '0.' || lpad({digits}, 3, '0') end", "'relationship: ' || relationship", "case when rejection_reason is not null then 'rejected: ' || rejection_reason end"]
+    p.add("why", "select * from ranked where rerank <= 10")
+    return f"select query_id, card_id, {d.join(d.not_null(d.array(*said)), '; ')} as reasons from why"
+
+
+@query
+def merge_candidates(p):
+    """Cards of one id from several sources: the first source that has a field gives it; zero is not missing."""
+    d = p.d
+    fused(p)
+    of = lambda i, r, keep: f"select s.query_id, s.card_id, {i} as src, {keep} from {r} s join {cards(p)} c on c.card_id = s.card_id"
+    p.add("mr", " union all ".join((of(1, "cosine", "'' as tag, c.author as author, case when c.card_id % 4 = 0 then 0 end as year"), of(2, "fts", "c.tag as tag, '' as author, c.year as year"), of(3, "author_source", "'late ' || c.tag as tag, c.author as author, c.year as year"))))
+    first = lambda x, there: f"{d.first_by(x, 'src')} filter (where {there})"
+    return f"select query_id, card_id, {first('tag', 'tag is not null and tag <> ' + chr(39) * 2)} as tag, {first('author', 'author is not null and author <> ' + chr(39) * 2)} as author, {first('year', 'year is not null')} as year, count(*) as n_sources from mr group by query_id, card_id"
+
+
 @query
 def relevance_gate(p):
     reranked(p)
