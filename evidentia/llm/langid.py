@@ -111,7 +111,7 @@ def _windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     per = -(-sizes // WINDOW)
-    flat = np.full(int(per.sum()) * WINDOW, PAD, np.intp)
+    flat = np.full(int(per.sum()) * WINDOW, PAD, np.uint16)
     at = np.cumsum(per) - per
     for r, a in zip(raw, (at * WINDOW).tolist()):
         flat[a : a + len(r)] = np.frombuffer(r, np.uint8)
