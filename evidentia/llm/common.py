@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +40,6 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
-def fold_py(key: int, n: int) -> int:
-    return zlib.crc32(str(key).encode()) % n
-
-
 def hash_sample(df: DataFrame, key: str, want: int, n: int | None = None, seed: int = 17) -> DataFrame:
     """A deterministic sample of about ``want`` rows, chosen by a hash of ``key``; all rows if there are no more."""
     n = df.count() if n is None else n

@@ -13,7 +13,7 @@ Vectors that are null, of another size than most queries' block, or that hold nu
 components take no part. Ties go to the smaller id. Repeated ids: each row is a candidate of its
 own; a query id that stands in several rows is answered once per row and the best k are returned,
 and rows that carry the query's own id are never candidates. Scores are exact while they stay under
-2**53; beyond that, whole-number arithmetic of any size is used and scores outside a long raise an error.
+2**53; beyond that, whole-number arithmetic of any size is used and scores outside a long become the nearest long.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ def _whole(column: pa.Array, ids: np.ndarray, scale: int) -> dict[int, tuple[np.
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise inner products of whole-number vectors, as Python ints if they may pass 2**53."""
     if len(q) and (np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1)).max() >= SAFE:
-        return np.array([sum(int(a) * int(b) for a, b in zip(u.tolist(), v.tolist())) for u, v in zip(q, x)], dtype=object).astype(np.int64)
+        exact = (sum(int(a) * int(b) for a, b in zip(u.tolist(), v.tolist())) for u, v in zip(q, x))
+        return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], dtype=np.int64)
     return np.einsum("ij,ij->i", q, x).astype(np.int64)
 
 

@@ -394,5 +394,7 @@ def test_topk(spark):
         best = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:10]
         assert found[q] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert set(found) == {i for i in good if i % 100 == 0}
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [3e12, 1.0])], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, x.score) for x in topk.top_k(huge, huge.where("vec_id = 0"), 10).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 2**63 - 1)]
     few = d.where("vec_id < 3 or vec_id = 400")
     assert len([x for x in topk.top_k(few, few.where("vec_id = 400"), 10).collect()]) == 3 and topk.top_k(d.limit(0), d.limit(0)).count() == 0
