@@ -2,11 +2,14 @@
 
 A line's digits are masked and it is cut into words. The tree's first level is the word count, the
 next DEPTH levels are the leading words; a line's path ends in a leaf. In leaves that lines of at
-least ``min_docs`` documents reach, fields are generalised: a word stays constant where at least
-``min_docs`` (line, document) occurrences of the leaf have it at its place, and is a variable field
-elsewhere. Constants make the line's template, if they are at least ``similarity`` of its words. A
-template found in at least ``min_docs`` documents recurs: its lines are dropped, but for its first
-occurrence (smallest id, then line), so that a group of copies keeps one whole text.
+least ``min_docs`` documents reach, fields are generalised. A word's support is the number of (line,
+document) occurrences of the leaf that have it at its place. A line's level is the support that
+``similarity`` of its words reach; below ``min_docs`` it has no template. A word stays constant where
+its support is at least ``min_docs`` and ``share`` of the line's level, and is a variable field
+elsewhere: a field of many values stays variable as the corpus grows, and a rare template beside a
+frequent one in its leaf goes by its own level. Constants make the line's template. A template found
+in at least ``min_docs`` documents recurs: its lines are dropped, but for its first occurrence
+(smallest id, then line), so that a group of copies keeps one whole text.
 
 Everything is a group by with partial sums or an equality join on hashed paths, so no leaf's lines
 ever meet in one task. The two joins with texts are sort-merge joins at every size: their other sides
@@ -26,6 +29,7 @@ DEPTH = 3
 MIN_WORDS = 5
 MIN_DOCS = 3
 SIMILARITY = 0.75
+SHARE = 0.25
 
 
 def _words(line: str) -> str:
@@ -40,7 +44,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return each.select("doc_id", "line_no", F.xxhash64(F.size("w"), *[F.col("w")[i] for i in range(min(DEPTH, min_words))]).alias("leaf"), F.xxhash64("w").alias("line"))
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, share: float = SHARE) -> DataFrame:
     """(doc_id, line_no): lines to drop. docs: doc_id, text."""
     lines = stored(_lines(docs, min_words), "lines")
     # what is joined with hot leaves is stored first, so that both sides are dealt out for the join alone and a hot key's rows can be split
@@ -55,9 +59,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     words = text.select("x.leaf", "x.line", "x.n", F.expr(_words("element_at(all, x.line_no + 1)")).alias("w"))
     words = words.where(F.xxhash64("w") == F.col("line"))  # rows that share an id may differ in text
     words = stored(words.select("leaf", "line", "n", F.size("w").alias("size"), F.posexplode("w").alias("at", "w")).select("leaf", "line", "n", "size", F.xxhash64("at", "w").alias("word")).distinct(), "words")
-    constant = words.groupBy("leaf", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "word")
-    template = words.join(constant, ["leaf", "word"]).groupBy("leaf", "line").agg(F.expr("bit_xor(xxhash64(word, 1))").alias("template"), F.count("*").alias("n"), F.max("size").alias("size"))
-    template = stored(template.where(F.col("n") >= F.col("size") * similarity).select("leaf", "line", "template"), "templates")
+    constant = words.groupBy("leaf", "word").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
+    # a line's supported words from the most frequent on; the last of those it needs has the line's level
+    template = words.join(constant, ["leaf", "word"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("support", "word")), asc=False).alias("held"), F.max("size").alias("size"))
+    template = template.where(F.size("held") >= F.col("size") * similarity).withColumn("least", F.element_at("held", F.ceil(F.col("size") * similarity).cast("int"))["support"] * share)
+    template = stored(template.select("leaf", "line", F.xxhash64(F.expr("transform(filter(held, h -> h.support >= least), h -> h.word)")).alias("template")), "templates")
     found = stored(lines.join(template, ["leaf", "line"]).select("leaf", "template", "doc_id", "line_no"), "templated")
     common = found.groupBy("leaf", "template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), first.alias("first"))
     common = stored(common.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")), "common")

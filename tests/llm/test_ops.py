@@ -283,6 +283,17 @@ def test_lines(spark, empty):
     assert all(x.fp == "x" for x in found) and lines.dedup(empty).count() == 0
 
 
+def test_lines_of_frequent_field_values(spark):
+    """A template's fields stay variable as the corpus grows; only its first line is kept."""
+    names, cities = [f"name{chr(97 + i)}" for i in range(20)], [f"city{chr(97 + i)}" for i in range(20)]
+    for n in (20, 100, 400):
+        rows = [(i, f"Posted today by {names[i % 20]} from {cities[(7 * i + i // 20) % 20]} office desk\nown{chr(97 + i % 26)} line") for i in range(n)]
+        # beside it, in the same leaf, a rarer template with constants of its own
+        rows += [(n + i, f"Posted today by staff {cities[i]} late shift team") for i in range(4)]
+        found = {x.doc_id: x.n_dropped for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == {i: int(i not in (0, n)) for i in range(n + 4)}, n
+
+
 # ---- 7: pieces ----
 
 
