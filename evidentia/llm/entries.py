@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.llm import lines
 
-    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_docs=lines.EXACT_DOCS).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

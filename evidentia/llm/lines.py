@@ -11,9 +11,13 @@ frequent one in its leaf goes by its own level. Constants make the line's templa
 in at least ``min_docs`` documents recurs: its lines are dropped, but for its first occurrence
 (smallest id, then line), so that a group of copies keeps one whole text.
 
+With ``exact_docs``, a line also recurs where it stands unchanged (but for masked digits and spaces) in
+at least that many documents. Lines of fewer than ``min_words`` words have no template; they recur by
+that rule alone, and their digits are not masked, since too little would be left. Without it they stay.
+
 Everything is a group by with partial sums or an equality join on hashed paths, so no leaf's lines
 ever meet in one task. The two joins with texts are sort-merge joins at every size: their other sides
-grow with the input and are never broadcast. Lines of fewer than ``min_words`` words are never dropped. Null and empty texts
+grow with the input and are never broadcast. Null and empty texts
 have no lines to drop and stay as they are. Rows that share an id count as one document and lose the
 same lines; rows whose id is null keep everything. Extra columns pass through unread.
 """
@@ -28,33 +32,46 @@ from evidentia.llm.common import stored
 DEPTH = 3
 MIN_WORDS = 5
 MIN_DOCS = 3
+EXACT_DOCS = 2
 SIMILARITY = 0.75
 SHARE = 0.25
 
 
+def _split(line: str) -> str:
+    """SQL: words of a line."""
+    return f"filter(split({line}, '[ \\\\t\\\\r\\\\f\\\\x0B]+'), w -> w <> '')"
+
+
 def _words(line: str) -> str:
     """SQL: masked words of a line."""
-    return f"filter(split(regexp_replace({line}, '[0-9]+', '<*>'), '[ \\\\t\\\\r\\\\f\\\\x0B]+'), w -> w <> '')"
+    return _split(f"regexp_replace({line}, '[0-9]+', '<*>')")
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line_no, leaf, line): hashes of the path and of the masked line."""
+def _lines(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
+    """(doc_id, line_no, leaf, line, long): hashes of the path and of the masked line; a short line's path is its words as they stand."""
     each = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "line_no", F.expr(_words("line")).alias("w")).where(F.size("w") >= min_words)
-    return each.select("doc_id", "line_no", F.xxhash64(F.size("w"), *[F.col("w")[i] for i in range(min(DEPTH, min_words))]).alias("leaf"), F.xxhash64("w").alias("line"))
-
-
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, share: float = SHARE) -> DataFrame:
-    """(doc_id, line_no): lines to drop. docs: doc_id, text."""
-    lines = stored(_lines(docs, min_words), "lines")
+    each = each.select("doc_id", "line_no", "line", F.expr(_words("line")).alias("w")).where(F.size("w") >= (1 if short else min_words))
+    path = F.xxhash64(F.size("w"), *[F.col("w")[i] for i in range(min(DEPTH, min_words))])
+    if not short:
+        return each.select("doc_id", "line_no", path.alias("leaf"), F.xxhash64("w").alias("line"), F.lit(True).alias("long"))
+    own = F.when(F.size("w") >= min_words, F.col("w")).otherwise(F.expr(_split("line")))
+    each = each.select("doc_id", "line_no", "w", (F.size("w") >= min_words).alias("long"), F.xxhash64(own).alias("line"))
+    return each.select("doc_id", "line_no", F.when(F.col("long"), path).otherwise(F.col("line")).alias("leaf"), "line", "long")
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, share: float = SHARE, exact_docs: int | None = None) -> DataFrame:
+    """(doc_id, line_no): lines to drop; a line may come twice. docs: doc_id, text."""
+    lines = stored(_lines(docs, min_words, exact_docs is not None), "lines")
     # what is joined with hot leaves is stored first, so that both sides are dealt out for the join alone and a hot key's rows can be split
-    leaves = stored(lines.groupBy("leaf", "doc_id").agg(F.lit(1)).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    lines = stored(lines.join(leaves, "leaf", "left_semi"), "leaf-lines")
+    leaves = lines.groupBy("leaf", "doc_id").agg(F.max("long").alias("long")).groupBy("leaf").agg(F.count("*").alias("count"), F.max("long").alias("long"))
+    leaves = leaves.where(F.col("count") >= min(min_docs, exact_docs or min_docs))
+    leaves = stored(leaves.select("leaf", (F.col("long") & (F.col("count") >= min_docs)).alias("wide")), "leaves")
+    lines = stored(lines.drop("long").join(leaves, "leaf"), "leaf-lines")
     first = F.min(F.struct("doc_id", "line_no"))
-    distinct = lines.groupBy("leaf", "line", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "line").agg(F.count("*").alias("n"), first.alias("rep"))
-    distinct = stored(distinct.select("leaf", "line", "n", "rep.*"), "distinct-lines")
+    distinct = lines.groupBy("leaf", "line", "doc_id").agg(F.min("line_no").alias("line_no"), F.max("wide").alias("wide")).groupBy("leaf", "line").agg(F.count("*").alias("n"), first.alias("rep"), F.max("wide").alias("wide"))
+    distinct = stored(distinct.select("leaf", "line", "n", "wide", "rep.*"), "distinct-lines")
     # the words of one line each, from its representative document
-    wanted = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "leaf", "line", "n")).alias("wanted"))
+    wanted = distinct.where("wide").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "leaf", "line", "n")).alias("wanted"))
     text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
     words = text.select("x.leaf", "x.line", "x.n", F.expr(_words("element_at(all, x.line_no + 1)")).alias("w"))
     words = words.where(F.xxhash64("w") == F.col("line"))  # rows that share an id may differ in text
@@ -64,10 +81,15 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     template = words.join(constant, ["leaf", "word"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("support", "word")), asc=False).alias("held"), F.max("size").alias("size"))
     template = template.where(F.size("held") >= F.col("size") * similarity).withColumn("least", F.element_at("held", F.ceil(F.col("size") * similarity).cast("int"))["support"] * share)
     template = stored(template.select("leaf", "line", F.xxhash64(F.expr("transform(filter(held, h -> h.support >= least), h -> h.word)")).alias("template")), "templates")
-    found = stored(lines.join(template, ["leaf", "line"]).select("leaf", "template", "doc_id", "line_no"), "templated")
+    found = stored(lines.where("wide").join(template, ["leaf", "line"]).select("leaf", "template", "doc_id", "line_no"), "templated")
     common = found.groupBy("leaf", "template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), first.alias("first"))
     common = stored(common.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")), "common")
-    return found.join(common, ["leaf", "template"]).where("not (doc_id = first_doc and line_no = first_line)").select("doc_id", "line_no")
+    later = F.expr("not (doc_id = first_doc and line_no = first_line)")
+    drop = found.join(common, ["leaf", "template"]).where(later).select("doc_id", "line_no")
+    if exact_docs is None:
+        return drop
+    exact = distinct.where(F.col("n") >= exact_docs).select("leaf", "line", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"))
+    return drop.unionByName(lines.join(stored(exact, "exact"), ["leaf", "line"]).where(later).select("doc_id", "line_no"))
 
 
 def _kept(text: str, drop: str) -> Column:

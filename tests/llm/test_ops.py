@@ -294,6 +294,15 @@ def test_lines_of_frequent_field_values(spark):
         assert found == {i: int(i not in (0, n)) for i in range(n + 4)}, n
 
 
+def test_lines_in_two_documents_and_short_ones(spark, tmp_path):
+    from evidentia.llm import entries
+
+    rows = ["All rights reserved.\nthe silent river winds past 12 old mills\nPage 1", "own words\nthe silent river winds past 7 old mills\nAll  rights reserved.", "Page 2\nAll rights reserved.\nAll rights reserved.", "Page 3\nnothing that comes again in here", "Page 2", None, "\n"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {x.doc_id: (x.text, x.n_dropped) for x in entries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {0: (rows[0], 0), 1: ("own words", 2), 2: ("Page 2", 2), 3: (rows[3], 0), 4: ("", 1), 5: (None, 0), 6: ("\n", 0)}
+
+
 # ---- 7: pieces ----
 
 
