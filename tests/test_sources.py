@@ -111,3 +111,15 @@ def test_boolean(spark):
     for bad in ("AND x", "(a", "a)", "NOT"):
         with pytest.raises(ValueError):
             condition(SPARK, bad)
+
+
+def test_word_files_hold_whole_lines(spark, tmp_path):
+    from hashlib import sha256
+
+    from evidentia.plans import python_queries
+
+    line = " ".join(f"word{i}" for i in range(900))
+    spark.createDataFrame([(1, f"{line}\nshort second line\n{line} end")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sha256(f"{line}\n\nshort second line\n\n{line} end".encode()).hexdigest()
+    (a,), (b,) = python_queries.docx_cards(spark, str(tmp_path)).collect(), python_queries.separated_cards(spark, str(tmp_path)).collect()
+    assert (a.section, a.tag, a.body, b.title, b.body) == (line, line, want, line, want)
