@@ -38,18 +38,18 @@ def cards(p: Pipe) -> str:
 
 
 def claims(p: Pipe) -> str:
-    """Each benchmark passage as a claim: its first words, some with control language."""
+    """Each benchmark passage as a claim, whole, with control language after its third word."""
     if "claims" in p.parts:
         return "claims"
     d = p.d
-    p.columns("claims_0", "benchmark", keep="item_id as query_id", words=d.slice(d.split("text", r"[ \n]+"), "1", "14"))
+    p.columns("claims_0", "benchmark", keep="item_id as query_id", words=d.split("text", r"[ \n]+"))
     p.columns(
         "claims_1",
         "claims_0",
         keep="query_id",
         head=d.join(d.slice("words", "1", "3"), " "),
         plain=d.join("words", " "),
-        tail=d.join(d.slice("words", "5", "9"), " "),
+        tail=d.join(d.slice("words", "4", d.size("words")), " "),
     )
     verb = d.at(d.strings(["prevents", "causes", "increases", "undermines", "reduces", "because of", "and", "protects"]), "cast(query_id % 8 as int) + 1")
     p.columns("claims", "claims_1", keep="query_id", text=f"head || ' ' || {verb} || ' ' || tail", plain="plain")

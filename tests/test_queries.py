@@ -36,6 +36,27 @@ def test_same_rows(spark, con, name):
     assert got == sorted(repr(tuple(norm(x[i]) for i in at)) for x in r.fetchall())
 
 
+def small(tmp_path, **tables):
+    c = duckdb.connect()
+    for name, sql in tables.items():
+        c.execute(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+    return str(tmp_path)
+
+
+def cards_sql(*texts):
+    return " union all ".join(f"select {i}::bigint as doc_id, '{t}' as text, 'en' as lang, 'src 1' as source, {len(t)}::bigint as n_chars" for i, t in enumerate(texts))
+
+
+def test_claims_are_whole(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(1, 31))
+    sf = small(tmp_path, benchmark=f"select 0::bigint as item_id, '{passage}' as text", documents=cards_sql("w29 w30 alone", f"before {passage} after", passage[:60] + " other end"))
+    p = registry.Pipe(registry.SPARK)
+    claim = registry.run_pipe(spark, sf, p, "select * from " + sql_queries.claims(p)).collect()
+    assert [(r.plain, r.text) for r in claim] == [(passage, passage.replace("w3 ", "w3 prevents "))]
+    assert [r.card_id for r in registry.run(spark, sf, "fts_prefix_or").orderBy("card_id").collect()] == [0, 1, 2]
+    assert [r.n_relevant for r in registry.run(spark, sf, "ir_metrics").collect()] == [1]
+
+
 def test_rest_stands_without_training_data_operators():
     import ast
     from pathlib import Path
