@@ -41,14 +41,14 @@ def term_sets(p):
 @query
 def canonical_terms(p):
     d = p.d
-    p.columns("x", cards(p), keep="card_id", terms=T.terms(d, "tag"))
+    p.columns("x", cards(p), keep="card_id", terms=T.terms(d, "body"))
     p.add("y", d.explode("x", "terms", "term", "card_id"))
     return f"select term, {T.canonical(d, 'term')} as canonical, {T.generic(d, 'term')} as is_generic, count(*) as n from y group by term"
 
 
 @query
 def phrase_concepts(p):
-    T.add_phrases(p, "x", cards(p), t="tag")
+    T.add_phrases(p, "x", cards(p), t="body")
     return f"select card_id, {sorted_words(p, 't_phrases')} from x"
 
 
@@ -168,7 +168,8 @@ def fts_boolean(p):
 def like_fallback(p):
     d = p.d
     p.columns("q", claims(p), keep="query_id", needle=d.at(d.split("text", " "), "2"))
-    p.add("h", f"select q.query_id, c.card_id, 0.25e0 as score, c.order_index, c.para from q join {cards(p)} c on {d.ilike('c.tag', chr(39) + '%' + chr(39) + ' || q.needle || ' + chr(39) + '%' + chr(39))}")
+    found = " or ".join(d.ilike(f"c.{x}", "'%' || q.needle || '%'") for x in ("tag", "card_name", "body", "citation"))
+    p.add("h", f"select q.query_id, c.card_id, 0.25e0 as score, c.order_index, c.para from q join {cards(p)} c on {found}")
     R.top(p, "r", "h", "order_index, para, card_id", 20)
     return "select query_id, card_id, score, rank from r"
 

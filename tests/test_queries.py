@@ -57,6 +57,17 @@ def test_claims_are_whole(spark, tmp_path):
     assert [r.n_relevant for r in registry.run(spark, sf, "ir_metrics").collect()] == [1]
 
 
+def test_searches_reach_past_the_first_line(spark, tmp_path):
+    texts = ["first line here\nthe needle economy grows; nuclear deterrence works", "x" * 250 + " needle", "no such word"]
+    sf = small(tmp_path, benchmark="select 0::bigint as item_id, 'the needle in a stack of hay' as text union all select 1, 'the Adler, of all names'", documents=cards_sql(*texts))
+    hits = {(r.query_id, r.card_id) for r in registry.run(spark, sf, "like_fallback").collect()}
+    assert hits == {(0, 0), (0, 1), (1, 0)}
+    terms = {r.term for r in registry.run(spark, sf, "canonical_terms").collect()}
+    assert {"economy", "deterrence", "needle"} <= terms
+    phrases = {r.card_id: r.t_phrases for r in registry.run(spark, sf, "phrase_concepts").collect()}
+    assert "nuclear" in phrases[0]
+
+
 def test_rest_stands_without_training_data_operators():
     import ast
     from pathlib import Path
