@@ -16,23 +16,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) is a folder of our own made.
+    Only where the session leaves it unset and everything runs on this machine (local tests) is a folder
+    of our own made; on a cluster an unset folder is an error, since no machine's own folder is shared.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.evidentia.shared.dir", None)
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.evidentia.shared.dir", found)
         sc.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder and read it back, with its path: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    return stored_at(df, name, codec)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete what ``stored_at`` wrote, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(taken: list[str], name: str) -> str:
+    """``name``, with underscores appended while a column is called that (in any case)."""
+    names = {c.lower() for c in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
 
 
 def fold(key: Column, n: int) -> Column:

@@ -17,9 +17,10 @@ buckets. Such a bucket fixes 31 + 15 bits and so holds at most 2**18 fingerprint
 reports a spanning forest of its links, never all pairs; components stay the same.
 
 Nulls and empty texts: no word, fingerprint zero, linked like any other. Fewer than three words:
-one shingle of all of them. Repeated doc_ids: each row keeps its own fingerprint and they share the
-id's node. A row without an id has its fingerprint's component, null if all that share it have none.
-An empty table gives an empty result.
+one shingle of all of them. The nodes are fingerprints, so rows need no id to be linked: a component's
+id is the smallest doc_id among all its rows, null only if none of them has one. Rows that share a
+doc_id are rows of their own: each has its own fingerprint and that fingerprint's component. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import stored
+from evidentia.llm.common import forget, stored, stored_at, unused
 
 DIRECT = 256  # fingerprints that a first-level bucket compares directly
 BLOCK = 2048  # rows compared at once in a bucket
@@ -59,15 +60,17 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
+    """The columns of docs and, last, each row's fingerprint as a signed long under ``name``, which must be free."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in b.column(b.num_columns - 1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], [*b.schema.names[:-1], name])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("*", F.col(f"`{text}`").cast("string").alias(name))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return rows.mapInArrow(run, f"{ddl}, `{name}` long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -230,9 +233,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable. nodes: node; edges: u, v (node ids).
 
     Alternates the large-star and small-star steps until the edges no longer change; every round is
-    a group by and a join-free rewrite written to the shared folder.
+    a group by and a join-free rewrite written to the shared folder, in place of the round before.
     """
-    both = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    spark = edges.sparkSession
+    both, path = stored_at(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     signature = None
     while True:
         # large star: every neighbour that is larger than the node points at the smallest neighbour
@@ -242,7 +246,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # small star: all smaller neighbours of a node, and the node, point at the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        both = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before = path
+        both, path = stored_at(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(spark, before)
         now = both.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == signature:
             break
@@ -251,20 +257,39 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, nodes["node"] == label["u"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def groups(fps: DataFrame) -> DataFrame:
+    """(fp, component) of every distinct fingerprint in column fp; a component is named by its smallest (signed) fingerprint."""
+    distinct = stored(fps.select("fp").distinct(), "distinct-fingerprints")
+    pairs = links(distinct).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(distinct.select(F.col("fp").alias("node")), pairs).select(F.col("node").alias("fp"), "component")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    own = stored(fingerprints(docs, text, key), "fingerprints")
-    reps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "representatives")
-    pairs = stored(links(reps), "links")
-    left = reps.select(F.col("fp").alias("a"), F.col("node").alias("u"))
-    right = reps.select(F.col("fp").alias("b"), F.col("node").alias("v"))
-    by_id = pairs.join(left, "a").join(right, "b").select("u", "v")
-    # a doc_id that stands in several rows ties their fingerprints together
-    several = own.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1 and lo <> hi").select("doc_id")
-    ties = own.join(several, "doc_id", "left_semi").distinct().join(reps, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    label = components(reps.select("node").distinct(), by_id.unionByName(ties))
-    of_fp = reps.join(label, "node", "left").select("fp", "component")
-    return own.join(of_fp, "fp", "left").select("doc_id", "fp", F.col("component").alias("component_id"))
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    own = stored(with_fingerprint(own).select("doc_id", "fp"), "fingerprints")
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    of_fp = stored(groups(own).join(least, "fp"), "components")
+    smallest = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
+    return own.join(of_fp.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The columns of docs, one row of each component: that of the smallest id (none last), then of the smallest fingerprint.
+
+    Rows that share both are near copies under one id, and one of them stays. Rows of other components stay
+    whatever their id, so different texts under one id, or under none, are not lost.
+    """
+    fp, id_ = unused(docs.columns, "fp"), F.col(f"`{key}`").cast("long")
+    rows = stored(with_fingerprint(docs, text, fp), "fingerprinted")
+    bare = rows.select(id_.alias("id"), F.col(fp).alias("fp"))
+    each = bare.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"))
+    best = groups(bare).join(each, "fp").groupBy("component").agg(F.min(F.struct("least", "fp")).alias("best"))
+    best_id, best_fp = unused(docs.columns, "best_id"), unused(docs.columns, "best_fp")
+    best = best.select(F.col("best.least.id").alias(best_id), F.col("best.fp").alias(best_fp))
+    kept = rows.join(best, (F.col(fp) == F.col(best_fp)) & id_.eqNullSafe(F.col(best_id)), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.groupBy(F.col(fp), id_).agg(F.min_by(whole, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("row")).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
