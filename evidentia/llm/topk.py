@@ -1,19 +1,23 @@
 """Exact top-k inner products over norm-sorted vectors.
 
 Every component x becomes floor(scale * x) as a whole number; the score is the whole-number inner
-product. Candidates are read once for each block of queries (a bounded broadcast, QUERY_BLOCK rows).
-Within a task they are taken in groups, each sorted by descending length and rotated by the group's
-right singular vectors, so that the first coordinates carry most of the length. For chunk after
-chunk, a query is left out once its length times the chunk's longest length can't reach its k-th
-score; for the others the first HEAD rotated coordinates give a partial sum, and by Cauchy-Schwarz
-the product of the residual lengths bounds the rest. Only pairs whose bound reaches the k-th score
-are multiplied out exactly. Each task keeps k per query; a window ranks what the tasks kept.
-
-Vectors that are null, of another size than most queries' block, or that hold null or non-finite
-components take no part. Ties go to the smaller id. Repeated ids: each row is a candidate of its
-own; a query id that stands in several rows is answered once per row and the best k are returned,
-and rows that carry the query's own id are never candidates. Scores are exact while they stay under
-2**53; beyond that, whole-number arithmetic of any size is used and scores outside a long become the nearest long.
+product. Both sides are packed into blocks of bounded size, written to the shared folder: candidates
+(GROUP rows of one dimension) sorted by descending length, with the block's right singular vectors, and
+queries (QUERY_BLOCK rows). Blocks meet blocks, as a stated query set asks: Spark broadcasts the query
+blocks while they are under its own size limit and otherwise pairs the partitions of both sides, so
+no more than one pair of blocks need be in a task and the driver holds none. Within a pair the
+candidates are rotated, so that the first coordinates carry most of the length. For chunk after chunk, a
+query is left out once its length times the chunk's longest length can't reach its k-th score; for the
+others the first HEAD rotated coordinates give a partial sum, and by Cauchy-Schwarz the product of the
+residual lengths bounds the rest. Only pairs whose bound reaches the k-th score are multiplied out
+exactly. Each task keeps its best of each query it meets; a window ranks what the tasks kept.
+
+Vectors that are null or empty, or that hold null or non-finite components, and rows without an id take
+no part; vectors of different sizes don't meet. Ties go to the smaller id. With ``own``, queries are
+rows of ``vectors`` and the query's own row alone is no candidate: an equal row, or another row of its
+id, is one. A query that stands in several rows is answered once for each. Scores are exact while they
+stay under 2**53; beyond that, whole-number arithmetic of any size is used and scores outside a long
+become the nearest long.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2048
-GROUP = 16384
+from evidentia.llm.common import stored
+
+QUERY_BLOCK = 1024
+GROUP = 8192
 CHUNK = 1024
 HEAD = 16
 SAFE = float(2**53)
@@ -81,66 +87,115 @@ class _Best:
             self.score[i, : len(keep)], self.id[i, : len(keep)], self.there[i, : len(keep)] = s[keep], d[keep], True
 
 
-def _search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, best: _Best) -> None:
-    """One group of candidates of the queries' size."""
-    norm = np.linalg.norm(x, axis=1)
-    order = np.argsort(-norm, kind="stable")
-    ids, x, norm = ids[order], x[order], norm[order]
-    _, _, basis = np.linalg.svd(x.T @ x)  # the right singular vectors of x
-    head = min(HEAD, x.shape[1])
-    xr, qr = x @ basis.T, q @ basis.T
-    x_rest, q_rest = np.linalg.norm(xr[:, head:], axis=1), np.linalg.norm(qr[:, head:], axis=1)
-    q_norm = np.linalg.norm(q, axis=1)
-    for at in range(0, len(x), CHUNK):
-        floor = best.floor()
-        slack = 1e-9 * q_norm * norm[at] + 1e-6  # rounding of the rotated sums
-        live = np.flatnonzero(q_norm * norm[at] + slack >= floor)
-        if not len(live):
-            break
-        part = slice(at, at + CHUNK)
-        bound = qr[live, :head] @ xr[part, :head].T + np.outer(q_rest[live], x_rest[part])
-        i, j = np.nonzero((bound + slack[live, None] >= floor[live, None]) & (qid[live, None] != ids[None, part]))
-        if len(i):
+class _Group:
+    """A block of candidates, rotated once for all queries that meet it."""
+
+    def __init__(self, dim: int, ids: bytes, x: bytes, basis: bytes) -> None:
+        self.ids, self.x = np.frombuffer(ids, "<i8"), _matrix(x, dim)
+        self.basis = np.frombuffer(basis, "<f8").reshape(dim, dim)
+        self.head = min(HEAD, dim)
+        rotated = self.x @ self.basis.T
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.first, self.rest = rotated[:, : self.head], np.linalg.norm(rotated[:, self.head :], axis=1)
+
+    def search(self, q: np.ndarray, best: _Best) -> None:
+        turned = q @ self.basis.T
+        q_rest, q_norm = np.linalg.norm(turned[:, self.head :], axis=1), np.linalg.norm(q, axis=1)
+        for at in range(0, len(self.x), CHUNK):
+            floor = best.floor()
+            slack = 1e-9 * q_norm * self.norm[at] + 1e-6  # rounding of the rotated sums
+            live = np.flatnonzero(q_norm * self.norm[at] + slack >= floor)
+            if not len(live):
+                break
+            part = slice(at, at + CHUNK)
+            bound = turned[live, : self.head] @ self.first[part].T + np.outer(q_rest[live], self.rest[part])
+            i, j = np.nonzero(bound + slack[live, None] >= floor[live, None])
             for a in range(0, len(i), 1 << 18):
                 ia, ja = live[i[a : a + (1 << 18)]], j[a : a + (1 << 18)] + at
-                best.add(ia, _exact(q[ia], x[ja]), ids[ja])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, key: str = "vec_id", value: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of each query among rows of other ids."""
-    spark = vectors.sparkSession
-    vectors = vectors.select(F.col(key).cast("long").alias("id"), F.col(value).cast("array<double>").alias("v")).where("id is not null")
-    queries = queries.select(F.col(key).cast("long").alias("id"), F.col(value).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    n_queries = queries.count()
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    out = None
-    for block in range(n_blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
-        rows = own.toArrow()
-        sent = spark.sparkContext.broadcast({d: m for d, m in _whole(rows.column("v").combine_chunks(), rows.column("id").to_numpy(), scale).items() if len(m[0])})
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            by_dim = sent.value
-            best = {d: _Best(len(q[0]), k) for d, q in by_dim.items()}
-            held: dict[int, list] = {d: [] for d in by_dim}
-
-            def flush(d: int) -> None:
-                if held[d]:
-                    _search(*by_dim[d], np.concatenate([a for a, _ in held[d]]), np.concatenate([m for _, m in held[d]]), best[d])
-                    held[d].clear()
-
-            for b in batches:
-                for d, (ids, m) in _whole(b.column(1), b.column(0).to_numpy(zero_copy_only=False), scale).items():
-                    if d in by_dim and len(ids):
-                        held[d].append((ids, m))
-                        if sum(len(a) for a, _ in held[d]) >= GROUP:
-                            flush(d)
-            for d, (qid, _) in by_dim.items():
-                flush(d)
-                i, j = np.nonzero(best[d].there)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(best[d].id[i, j]), pa.array(best[d].score[i, j])], ["query_id", "vec_id", "score"])
-
-        found = vectors.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                best.add(ia, _exact(q[ia], self.x[ja]), self.ids[ja])
+
+
+def _bytes(m: np.ndarray) -> bytes:
+    """A whole-number matrix in the narrowest of three forms; the first byte tells which."""
+    most = np.abs(m).max() if m.size else 0
+    form = 0 if most < 1 << 15 else 1 if most < 1 << 31 else 2
+    return bytes([form]) + m.astype(("<i2", "<i4", "<f8")[form]).tobytes()
+
+
+def _matrix(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, ("<i2", "<i4", "<f8")[raw[0]], offset=1).reshape(-1, dim).astype(np.float64)
+
+
+def _blocks(rows: DataFrame, scale: int, size: int, candidates: bool) -> DataFrame:
+    """Rows (id, v) as blocks (dim, ids, m[, basis]) of at most ``size`` rows; candidates by descending length."""
+    names = ["dim", "ids", "m"] + ["basis"] * candidates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, m = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            out = [pa.array([dim], pa.int32())]
+            if candidates:
+                order = np.argsort(-np.linalg.norm(m, axis=1), kind="stable")
+                ids, m = ids[order], m[order]
+                unit = m / max(1.0, np.abs(m).max())  # the rotation has no need of the scale, whose squares might overflow
+                _, _, basis = np.linalg.svd(unit.T @ unit)  # the right singular vectors of m
+            out += [pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([_bytes(m)], pa.binary())]
+            return pa.RecordBatch.from_arrays(out + ([pa.array([basis.astype("<f8").tobytes()], pa.binary())] if candidates else []), names)
+
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                for dim, (ids, m) in _whole(part.column(1), part.column(0).to_numpy(zero_copy_only=False), scale).items():
+                    if not len(ids):
+                        continue
+                    if sum(len(a) for a, _ in held.get(dim, ())) + len(ids) > size:
+                        yield block(dim)
+                    held.setdefault(dim, []).append((ids, m))
+        for dim in list(held):
+            yield block(dim)
+
+    return rows.mapInArrow(run, "dim int, ids binary, m binary" + ", basis binary" * candidates)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, key: str = "vec_id", value: str = "embedding", own: bool = True) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest inner products of each query row; ``own``: queries are rows of vectors."""
+    pick = lambda df: df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{value}`").cast("array<double>").alias("v")).where("id is not null and v is not null")
+    kept = k + own  # one more, since the query's own row is among the candidates
+    groups = stored(_blocks(pick(vectors), scale, GROUP, True), "candidates", codec="none")
+    # a query row is known by its block and its place there: both are written, so they stay the same when a task is run again
+    asked = stored(_blocks(pick(queries), scale, QUERY_BLOCK, False), "queries", codec="none")
+    asked = stored(asked.select(F.monotonically_increasing_id().alias("block"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q")), "queries", codec="none")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, _Best]] = {}
+        last, group = None, None
+        for b in batches:
+            for row in range(b.num_rows):
+                dim, ids, m, basis, block, q_dim, q_ids, q = (c[row].as_py() for c in b.columns)
+                if dim != q_dim:
+                    continue
+                if last != (ids, m):
+                    last, group = (ids, m), _Group(dim, ids, m, basis)
+                if block not in best:
+                    qid = np.frombuffer(q_ids, "<i8")
+                    best[block] = qid, _matrix(q, dim), _Best(len(qid), kept)
+                group.search(best[block][1], best[block][2])
+        for block, (qid, q, found) in best.items():
+            i, j = np.nonzero(found.there)
+            itself = _exact(q, q)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block)), pa.array(i), pa.array(qid[i]), pa.array(itself[i]), pa.array(found.id[i, j]), pa.array(found.score[i, j])], ["block", "place", "query_id", "itself", "vec_id", "score"])
+
+    # blocks of the query set against blocks of all rows, never rows against rows; sizes are compared in the task, since a join on them would send all blocks of one size to it
+    pairs = groups.crossJoin(asked).select("dim", "ids", "m", "basis", "block", "q_dim", "q_ids", "q")
+    found = pairs.mapInArrow(run, "block long, place long, query_id long, itself long, vec_id long, score long")
+    order = [F.desc("score"), F.asc("vec_id")]
+    query = Window.partitionBy("block", "place")
+    found = found.withColumn("rank", F.row_number().over(query.orderBy(*order))).where(F.col("rank") <= kept)
+    if own:
+        # the first entry that equals the query's own row in id and score stands for it; entries beyond it move up
+        mine = F.expr("vec_id = query_id and score = itself")
+        at = F.coalesce(F.min(F.when(mine, F.col("rank"))).over(query), F.lit(kept))
+        found = found.withColumn("at", at).where("rank <> at").withColumn("rank", F.expr("rank - if(rank > at, 1, 0)"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
