@@ -7,7 +7,8 @@ engine and any order. Features are the distinct character trigrams of ``host`` a
 hashed to one of BUCKETS by a polynomial of its characters' codes.
 
 A null address, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-bias alone. Repeated rows are judged alike; extra columns are not read.
+bias alone. Repeated rows are judged alike; extra columns are not read. The work grows in proportion to
+an address's length.
 """
 
 from __future__ import annotations
@@ -74,8 +75,9 @@ def _rule(host: str = "host", path: str = "path") -> tuple[Column, Column]:
 
 
 def _grams(text: str, field: int) -> str:
-    marked = f"concat('^', {text}, '$')"
-    return f"transform(sequence(1, length({text})), i -> cast(pmod(ascii(substring({marked}, i, 1)) * 961 + ascii(substring({marked}, i + 1, 1)) * 31 + ascii(substring({marked}, i + 2, 1)) + {2017 * field}, {BUCKETS}) as int))"
+    """SQL: buckets of a marked text's trigrams, each matched on its own, so that the work grows with the length alone."""
+    code = lambda i: f"ascii(substring(g, {i}, 1))"
+    return f"transform(regexp_extract_all(concat('^', {text}, '$'), '(?s)(?=(...)).', 1), g -> cast(pmod({code(1)} * 961 + {code(2)} * 31 + {code(3)} + {2017 * field}, {BUCKETS}) as int))"
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
