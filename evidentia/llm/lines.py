@@ -16,10 +16,13 @@ at least that many documents. Lines of fewer than ``min_words`` words have no te
 that rule alone, and their digits are not masked, since too little would be left. Without it they stay.
 
 Everything is a group by with partial sums or an equality join on hashed paths, so no leaf's lines
-ever meet in one task. The two joins with texts are sort-merge joins at every size: their other sides
+ever meet in one task. Lines, words and templates are told apart by two independent 64-bit hashes each,
+since text is deleted on their word: at 10^12 lines one pair of hashes is expected to clash with a chance
+under 10^-14. The two joins with texts are sort-merge joins at every size: their other sides
 grow with the input and are never broadcast. Null and empty texts
 have no lines to drop and stay as they are. Rows that share an id count as one document and lose the
-same lines; rows whose id is null keep everything. Extra columns pass through unread.
+same lines; rows whose id is null keep everything. Extra columns pass through unread; where one is called
+``n_lines`` or ``n_dropped``, the operator's own column of that name has underscores appended.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import stored
+from evidentia.llm.common import stored, unused
 
 DEPTH = 3
 MIN_WORDS = 5
@@ -47,16 +50,21 @@ def _words(line: str) -> str:
     return _split(f"regexp_replace({line}, '[0-9]+', '<*>')")
 
 
+def _twice(*of: Column) -> Column:
+    """Two independent hashes of the same columns."""
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit("second"), *of).alias("b"))
+
+
 def _lines(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
     """(doc_id, line_no, leaf, line, long): hashes of the path and of the masked line; a short line's path is its words as they stand."""
     each = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     each = each.select("doc_id", "line_no", "line", F.expr(_words("line")).alias("w")).where(F.size("w") >= (1 if short else min_words))
     path = F.xxhash64(F.size("w"), *[F.col("w")[i] for i in range(min(DEPTH, min_words))])
     if not short:
-        return each.select("doc_id", "line_no", path.alias("leaf"), F.xxhash64("w").alias("line"), F.lit(True).alias("long"))
+        return each.select("doc_id", "line_no", path.alias("leaf"), _twice(F.col("w")).alias("line"), F.lit(True).alias("long"))
     own = F.when(F.size("w") >= min_words, F.col("w")).otherwise(F.expr(_split("line")))
-    each = each.select("doc_id", "line_no", "w", (F.size("w") >= min_words).alias("long"), F.xxhash64(own).alias("line"))
-    return each.select("doc_id", "line_no", F.when(F.col("long"), path).otherwise(F.col("line")).alias("leaf"), "line", "long")
+    each = each.select("doc_id", "line_no", "w", (F.size("w") >= min_words).alias("long"), own.alias("own")).select("doc_id", "line_no", "w", "long", _twice(F.col("own")).alias("line"))
+    return each.select("doc_id", "line_no", F.when(F.col("long"), path).otherwise(F.col("line.a")).alias("leaf"), "line", "long")
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, share: float = SHARE, exact_docs: int | None = None) -> DataFrame:
@@ -74,13 +82,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_words: int = MIN_WO
     wanted = distinct.where("wide").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "leaf", "line", "n")).alias("wanted"))
     text = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("x"))
     words = text.select("x.leaf", "x.line", "x.n", F.expr(_words("element_at(all, x.line_no + 1)")).alias("w"))
-    words = words.where(F.xxhash64("w") == F.col("line"))  # rows that share an id may differ in text
-    words = stored(words.select("leaf", "line", "n", F.size("w").alias("size"), F.posexplode("w").alias("at", "w")).select("leaf", "line", "n", "size", F.xxhash64("at", "w").alias("word")).distinct(), "words")
+    words = words.where(F.xxhash64("w") == F.col("line.a"))  # rows that share an id may differ in text
+    words = stored(words.select("leaf", "line", "n", F.size("w").alias("size"), F.posexplode("w").alias("at", "w")).select("leaf", "line", "n", "size", _twice(F.col("at"), F.col("w")).alias("word")).distinct(), "words")
     constant = words.groupBy("leaf", "word").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
     # a line's supported words from the most frequent on; the last of those it needs has the line's level
     template = words.join(constant, ["leaf", "word"]).groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("support", "word")), asc=False).alias("held"), F.max("size").alias("size"))
     template = template.where(F.size("held") >= F.col("size") * similarity).withColumn("least", F.element_at("held", F.ceil(F.col("size") * similarity).cast("int"))["support"] * share)
-    template = stored(template.select("leaf", "line", F.xxhash64(F.expr("transform(filter(held, h -> h.support >= least), h -> h.word)")).alias("template")), "templates")
+    template = stored(template.select("leaf", "line", _twice(F.expr("transform(filter(held, h -> h.support >= least), h -> h.word)")).alias("template")), "templates")
     found = stored(lines.where("wide").join(template, ["leaf", "line"]).select("leaf", "template", "doc_id", "line_no"), "templated")
     common = found.groupBy("leaf", "template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("leaf", "template").agg(F.count("*").alias("docs"), first.alias("first"))
     common = stored(common.where(F.col("docs") >= min_docs).select("leaf", "template", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")), "common")
@@ -96,15 +104,22 @@ def _kept(text: str, drop: str) -> Column:
     return F.expr(f"array_join(filter(transform(split({text}, '\\n'), (l, i) -> if(array_contains({drop}, i), null, l)), l -> l is not null), '\\n')")
 
 
+def counted(columns: list[str]) -> tuple[str, str]:
+    """Names of the columns that ``dedup`` adds to a table of these columns."""
+    return unused(columns, "n_lines"), unused(columns, "n_dropped")
+
+
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **params) -> DataFrame:
     """The columns of docs, with recurring lines taken out of the text, and n_lines and n_dropped (long)."""
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    drop = recurring(own, **params).groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set("line_no")).alias("__drop"))
-    joined = docs.join(drop.hint("merge"), F.col(f"`{key}`").cast("long") == F.col("__doc"), "left")
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    doc, gone, n, dropped = (unused(docs.columns, x) for x in ("__doc", "__drop", "__n", "__gone"))
+    drop = recurring(own, **params).groupBy(F.col("doc_id").alias(doc)).agg(F.array_sort(F.collect_set("line_no")).alias(gone))
+    joined = docs.join(drop.hint("merge"), F.col(f"`{key}`").cast("long") == F.col(doc), "left")
     source = F.col(f"`{text}`")
-    n = F.when(source.isNull(), 0).otherwise(F.size(F.split(source, "\n")))
+    lines = F.when(source.isNull(), 0).otherwise(F.size(F.split(source, "\n")))
     # counted ahead of the new text, whose name must not be taken for the old one's
-    joined = joined.withColumn("__n", n).withColumn("__gone", F.coalesce(F.size(F.filter("__drop", lambda i: i < F.col("__n"))), F.lit(0)))
-    joined = joined.withColumn("__gone", F.when(F.col("__drop").isNull(), 0).otherwise(F.col("__gone")))
-    new = F.when(F.col("__drop").isNull(), source.cast("string")).otherwise(_kept(f"`{text}`", "__drop"))
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col("__n").cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_dropped"))
+    joined = joined.withColumn(n, lines).withColumn(dropped, F.coalesce(F.size(F.filter(gone, lambda i: i < F.col(n))), F.lit(0)))
+    joined = joined.withColumn(dropped, F.when(F.col(gone).isNull(), 0).otherwise(F.col(dropped)))
+    new = F.when(F.col(gone).isNull(), source.cast("string")).otherwise(_kept(f"`{text}`", gone))
+    n_lines, n_dropped = counted(docs.columns)
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(n).cast("long").alias(n_lines), F.col(dropped).cast("long").alias(n_dropped))
