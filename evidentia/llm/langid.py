@@ -4,7 +4,7 @@ A text's bytes are cut into windows of WINDOW bytes, all of them, the last one p
 direction a gated recurrent unit (gates by a piecewise linear sigmoid) runs through the window; both
 states together label every byte with probabilities of the languages, and a document's probability is
 the mean over its bytes. Training is by backpropagation through time over windows drawn from at most
-about ``max_rows`` labelled documents, chosen by a hash of the id; every text is labelled whole.
+about ``max_rows`` labelled documents, chosen by a hash of id and text; every text is labelled whole.
 
 A null text, and one without any letter, is ``und`` with score 0. Ties go to the language that sorts
 first. Repeated rows are labelled alike; extra columns are ignored. Without any labelled document
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import fold
+from evidentia.llm.common import fold, unused
 
 WINDOW = 64
 HIDDEN = 8
 PAD = 256
 LANES = 4096
 MAX_ROWS = 2000
+MAX_LANGS = 256  # most frequent languages that are learned: a column of free text would else make a class of each value
+MAX_CHARS = 200_000  # of one sampled text, in fitting alone
 UNKNOWN = "und"
 
 
@@ -189,26 +191,40 @@ def fit(texts: list[str], langs: list[str], steps: int = 160, batch: int = 256,
     return model
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", where: Column | None = None, max_rows: int = MAX_ROWS) -> BiGRU:
-    """Fit on about ``max_rows`` documents of known language at most, shared evenly among the languages."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang", where: Column | None = None, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> BiGRU:
+    """Fit on about ``max_rows`` documents of known language at most, shared evenly among the ``max_langs`` most frequent languages.
+
+    The sample goes by a hash of id and text, so that many rows of one id are sampled like others; of each
+    sampled text at most MAX_CHARS characters are learned from, a third each from its
+    start, middle and end; ``predict`` reads whole texts.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null and text is not null")
     if where is not None:
         rows = rows.where(where)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    chosen = F.lit(False)
-    for x, n in sizes.items():
-        share = min(1_000_000, int(1_000_000 * max_rows / max(1, len(sizes)) / n) + 1)
-        chosen = chosen | ((F.col("lang") == x) & (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_000)) < share))
-    got = rows.where(chosen).select("doc_id", "text", "lang").toArrow().to_pylist()
-    got = sorted((r["doc_id"], r["text"], r["lang"]) for r in got if any(c.isalpha() for c in r["text"]))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not sizes:
+        return fit([], [])
+    rate = [(r["lang"], int(min(1_000_000, 1_000_000 * max_rows / len(sizes) / r["count"] + 1))) for r in sizes]
+    rates = docs.sparkSession.createDataFrame(rate, "lang string, rate int")
+    chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(17)), F.lit(1_000_000)) < F.col("rate"))
+    third = MAX_CHARS // 3
+    part = F.when(F.length("text") <= MAX_CHARS, F.col("text")).otherwise(F.concat(*[F.substr("text", at, F.lit(third)) for at in (F.lit(1), (F.length("text") / 2).cast("int"), F.length("text") - third)]))
+    got = chosen.select("doc_id", part.alias("text"), "lang").toArrow().to_pylist()
+    got = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in got if any(c.isalpha() for c in r["text"]))
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
+def added(columns: list[str]) -> tuple[str, str]:
+    """Names of the columns that ``predict`` adds to a table of these columns."""
+    return unused(columns, "lang_pred"), unused(columns, "lang_score")
+
+
 def predict(docs: DataFrame, model: BiGRU, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (``keep``, else all) with lang_pred and lang_score (double)."""
+    """The columns of docs (``keep``, else all) with lang_pred and lang_score (double); underscores are appended to a name that is taken."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep is None else keep
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("__text"))
+    lang, score = added(columns)
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias(unused(columns, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -222,10 +238,10 @@ def predict(docs: DataFrame, model: BiGRU, text: str = "text", keep: list[str] |
                     best = int(q.argmax())
                     names.append(own.langs[best] if lettered else UNKNOWN)
                     scores.append(min(1.0, max(0.0, float(q[best]))) if lettered and names[-1] != UNKNOWN else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*columns, lang, score])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{ddl}, `{lang}` string, `{score}` double" if ddl else f"`{lang}` string, `{score}` double")
 
 
 def contract(docs: DataFrame) -> DataFrame:
