@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import fold, hash_sample
+from evidentia.llm.common import fold, hash_sample, unused
 
 BUCKETS = 1 << 20
 DIM = 8
@@ -271,17 +271,24 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if chosen is None:
         return fit([], [], [])
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), lang.alias("lang"))
-    got = own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "label").toPandas().sort_values("doc_id")
+    own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), lang.alias("lang"))
+    # of rows that share an id the least text is learned from, so that the model is the same in every run
+    got = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "label")).alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
     got = got.astype(object).where(got.notna(), None)
     return fit(list(got["text"]), [int(x) for x in got["label"]], list(got["lang"]))
 
 
+def added(columns: list[str]) -> tuple[str, str]:
+    """Names of the columns that ``score`` adds to a table of these columns."""
+    return unused(columns, "tox_score"), unused(columns, "tox_predicted")
+
+
 def score(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of docs (``keep``, else all) with tox_score (double, 0 to 1) and tox_predicted (int)."""
+    """The columns of docs (``keep``, else all) with tox_score (double, 0 to 1) and tox_predicted (int); underscores are appended to a name that is taken."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep is None else keep
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).cast("string").alias("__text"))
+    names = [*columns, *added(columns)]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias(unused(columns, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -289,10 +296,10 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str
             texts = b.column(b.num_columns - 1)
             s = np.concatenate([own.logits(texts[at : at + 512].to_pylist()) for at in range(0, len(texts), 512)]) if len(texts) else np.empty(0)
             p = 1 / (1 + np.exp(-np.clip(s.astype(np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*columns, "tox_score", "tox_predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(run, f"{ddl}, tox_score double, tox_predicted int")
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields[:-1]] + ["double", "int"]
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
