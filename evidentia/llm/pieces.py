@@ -2,12 +2,16 @@
 
 A text is marked (a leading space, spaces as part of what follows) and cut where no piece can reach
 across: before spaces that follow other text, and around line ends. The distinct marked words of a
-batch are sorted, so that they form a trie read depth-first: the forward states of the prefix that a
-word shares with the one before it are kept, and only the rest is worked out. The state of a prefix is
-the last piece of its best segmentation. For a byte-pair model the best segmentation is the one its
-merges produce; a piece may follow another exactly if merging the two together gives them back, and
-then one predecessor alone survives at each position, so the traversal needs no score sums and gives
-the library's own ids. Characters that no piece has fall back to their bytes.
+batch are sorted, so that they form a trie read depth-first: the forward scores and back pointers of the
+prefix that a word shares with the one before it are kept, and only the rest is worked out. A prefix's
+forward score is the best, over the pieces that may end it, of the score before the piece plus the
+piece's own; ties go to the longer piece. A unigram model lets every piece follow every other. A byte-pair
+model's ids are those that its merges produce, so there a step also costs infinitely much where merging
+the two pieces together would not give them back, and a piece that its own merges don't reach costs as
+much; one predecessor alone then has a finite score at each position, so the search for it stops there.
+Either way the ids are the library's own. Characters that no piece has fall back to their bytes, at the
+library's penalty below the least score. A model without bytes, or one that prepares texts otherwise
+than by a leading space, is refused.
 
 Decoding joins the pieces' bytes and takes the leading space off. U+2581 in a text is the model's own
 sign for a space and comes back as one; everything else is returned as it was. Null and empty texts have no
@@ -27,18 +31,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
-KEPT = 400_000
+KEPT = 400_000  # words that a worker remembers,
+KEPT_BYTES = 1 << 25  # and bytes of them
 PAIRS = 1_000_000
 _WORDS = re.compile(rb"\x20*[^\x20\n]+|\x20+|\n")
 _LOADED: dict[str, Pieces] = {}
 
 
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if raw[at - 1] < 128:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer's fields."""
+    at = 0
+    while at < len(raw):
+        tag, at = _varint(raw, at)
+        if tag & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if tag & 7 == 2 else ((8, at) if tag & 7 == 1 else (4, at))
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def _unigram(model: bytes) -> bool:
+    """Whether the model is a unigram one: field 3 (model_type) of field 2 (trainer_spec), 1 where absent; 2 is byte-pair."""
+    kind = 1
+    for number, value in _fields(model):
+        if number == 2 and isinstance(value, bytes):
+            kind = next((v for n, v in _fields(value) if n == 3), 1)
+    if kind not in (1, 2):
+        raise ValueError("only unigram and byte-pair models")
+    return kind == 1
+
+
 class Pieces:
     def __init__(self, name: str) -> None:
         import public_tokenizers
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=name if os.path.sep in name else public_tokenizers.path(name))
+        self.unigram = _unigram(sp.serialized_model_proto())
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.bytes = [0] * 256
@@ -57,9 +96,14 @@ class Pieces:
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.ids):
             raise ValueError("pieces of this model reach across words")
         self.longest = max(map(len, self.ids))
+        self.floor = min(self.score.values()) - 10.0  # the library's penalty for an unknown character
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
+        probes = ["", "a", "  a  b ", "ﬁ Å\t\n", "\n\n", "\x01"]
+        if not any(self.bytes) or self.encode(probes) != [struct.pack(f"<{len(x)}I", *x) for x in sp.encode(probes)]:
+            raise ValueError("this model prepares texts in another way")
 
     def merged(self, text: str) -> list[str]:
         """Symbols after all merges: the best-scoring adjacent pair first, the leftmost of equals."""
@@ -85,24 +129,36 @@ class Pieces:
 
     def words(self, distinct: list[str]) -> Iterator[list[str]]:
         """Pieces of each word; the words must be sorted."""
-        ids, longest, follows = self.ids, self.longest, self.follows
-        last, word = [""], ""  # last[i]: last piece of the first i characters
+        score, longest, follows, unigram = self.score, self.longest, self.follows, self.unigram
+        last, forward, word = [""], [0.0], ""  # of the first i characters: the last piece, the best score
         for new in distinct:
             shared = 0
             for a, b in zip(word, new):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], forward[shared + 1 :]
             word = new
             for i in range(shared + 1, len(word) + 1):
+                best, by = None, ""
                 for j in range(max(0, i - longest), i):
                     piece = word[j:i]
-                    if (piece in ids or j == i - 1) and (not j or follows(last[j], piece)) and (len(piece) == 1 or self.whole(piece)):
-                        last.append(piece)
-                        break
-                else:
+                    own = score.get(piece)
+                    if own is None:
+                        if j < i - 1:
+                            continue
+                        own = self.floor
+                    if not unigram and ((j and not follows(last[j], piece)) or (len(piece) > 1 and not self.whole(piece))):
+                        continue
+                    total = float(np.float32(forward[j] + own)) if unigram else forward[j] + own  # the library adds in 32 bits
+                    if best is None or total > best:
+                        best, by = total, piece
+                        if not unigram:
+                            break
+                if best is None:
                     raise AssertionError("no segmentation")
+                last.append(by)
+                forward.append(best)
             out, i = [], len(word)
             while i:
                 out.append(last[i])
@@ -128,8 +184,8 @@ class Pieces:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [_WORDS.findall(b" " + t.replace("▁", " ").encode("utf-8", "replace")) if t else [] for t in texts]
         seen = set().union(*parts)
-        if len(self.known) > KEPT:
-            self.known, self.old = {}, self.known
+        if len(self.known) > KEPT or self.held > KEPT_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
         known, old, new = self.known, self.old, []
         for w in seen:
             if w not in known:
@@ -140,6 +196,7 @@ class Pieces:
         new.sort()
         for w, pieces in zip(new, self.words(new)):
             known[w.encode()] = self._pack(pieces)
+            self.held += len(w)
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:
