@@ -13,10 +13,11 @@ import os
 import re
 import struct
 
-KEPT = 400_000  # chunks that a worker remembers
+KEPT = 400_000  # chunks that a worker remembers,
+KEPT_BYTES = 1 << 25  # and bytes of them
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"  # ASCII and Latin-1
-_BYTE_CHUNKS = re.compile(rb"[\x20\x09-\x0d]*" + _LETTERS + rb"|[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-_WORD_CHUNKS = re.compile(_LETTERS + rb"|[^\x20\x09-\x0d]+")
+_BYTE_CHUNKS = re.compile(rb"\x20?[A-Za-z]++(?![\x80-\xff])|[\x20\x09-\x0d]*" + _LETTERS + rb"|[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+_WORD_CHUNKS = re.compile(rb"[A-Za-z]++(?![\x80-\xff])|" + _LETTERS + rb"|[^\x20\x09-\x0d]+")
 _ONE = re.compile(rb"\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 BATCH = 128  # texts that are encoded together
@@ -48,6 +49,7 @@ class Encoder:
         self.direct = all(self._by_model(p) == self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in probes if not (self.lower and p[:1] == b" "))
         self.known: dict[bytes, bytes] = {}  # and, one generation back:
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _drops_space(self) -> bool:
         ids = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a  b\n", "a\tb")]
@@ -87,14 +89,27 @@ class Encoder:
                 ids = e.ids
                 known[c] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def _make_room(self) -> None:
+        if len(self.known) > KEPT or self.held > KEPT_BYTES:
+            self.known, self.old, self.held = {}, self.known, 0
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = self.chunks
-        parts = [cut((t or "").encode("utf-8", "replace")) for t in texts]
-        seen = set().union(*parts)
-        if len(self.known) > KEPT:
-            self.known, self.old = {}, self.known
-        self._learn([c for c in seen if c not in self.known])
-        look = self.known.__getitem__
+        """Ids of each text; where white space is dropped, whole words are remembered, and cut into chunks only when they are new."""
+        self._make_room()
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        parts = [r.split() for r in raw] if self.lower else [self.chunks(r) for r in raw]
+        known = self.known
+        new = [c for c in set().union(*parts) if c not in known]
+        self.held += sum(map(len, new))
+        if self.lower:
+            cut = {w: self.chunks(w) for w in new if w not in self.old}
+            known.update((w, self.old[w]) for w in new if w not in cut)
+            chunks = {c for p in cut.values() for c in p if c not in known}
+            self._learn(list(chunks))
+            known.update((w, b"".join([known[c] for c in p])) for w, p in cut.items() if len(p) > 1)
+        else:
+            self._learn(new)
+        look = known.__getitem__
         return [b"".join(map(look, p)) for p in parts]
 
 
