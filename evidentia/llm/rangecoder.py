@@ -12,8 +12,8 @@ Blocks are lanes: numpy steps through all blocks of a group at once, so the inte
 shared by up to LANES blocks. Every block carries its number of ids, its coded size and the crc32 of
 its ids, and can be decoded alone.
 
-Record layout (little-endian): magic ``EVTK``, version u8, method u8, documents u32, blocks u32,
-alphabet u32; the alphabet's ids (u32 each, ascending); per document id i64 and count u32; per block
+Record layout (little-endian): magic ``EVTK``, version u8, method u8, documents u32, documents without
+an id u32 (they come first), blocks u32, alphabet u32; the alphabet's ids (u32 each, ascending); per document id i64 and count u32; per block
 ids u32, words u32, crc32 u32; the blocks' 16-bit words. Method 1 is the coder; method 0 (more than
 65536 different ids in a record) stores the ids themselves.
 """
@@ -36,7 +36,7 @@ BLOCK = 4096
 LANES = 1024
 RECORD = 1 << 19  # ids after which a record is closed, at the end of a document
 TOKENIZER = "word_bpe_49k.json"
-MAGIC, VERSION = b"EVTK", 1
+MAGIC, VERSION = b"EVTK", 2
 
 SYMBOLS = 3 + BLOCK.bit_length()  # order-2 hit, order-1 hit, new id, rank classes
 TABLE = 1 << 11
@@ -251,8 +251,8 @@ def decode_blocks(coded: list[bytes], sizes: list[int], alphabet: int) -> list[n
     return out
 
 
-def write_records(records: list[tuple[list[int], list[bytes]]]) -> list[bytes]:
-    """Records (document ids, their little-endian u32 ids) as bytes; all blocks are coded together."""
+def write_records(records: list[tuple[list[int | None], list[bytes]]]) -> list[bytes]:
+    """Records (document ids, those without first; their little-endian u32 ids) as bytes; all blocks are coded together."""
     plain = [np.frombuffer(b"".join(parts), "<u4") for _, parts in records]
     known = np.unique(np.concatenate([np.unique(p) for p in plain])) if plain else np.empty(0, "<u4")
     method = int(len(known) <= 65536)
@@ -266,21 +266,21 @@ def write_records(records: list[tuple[list[int], list[bytes]]]) -> list[bytes]:
         coded += encode_blocks(blocks[i : i + LANES], len(known)) if method else [b.astype("<u4").tobytes() for b in blocks[i : i + LANES]]
     out = []
     for (docs, parts), p, (lo, hi) in zip(records, plain, at):
-        head = MAGIC + struct.pack("<BBIII", VERSION, method, len(docs), hi - lo, len(known) * method)
-        head += known.astype("<u4").tobytes() * method + b"".join(struct.pack("<qI", d, len(x) // 4) for d, x in zip(docs, parts))
+        head = MAGIC + struct.pack("<BBIIII", VERSION, method, len(docs), docs.count(None), hi - lo, len(known) * method)
+        head += known.astype("<u4").tobytes() * method + b"".join(struct.pack("<qI", d or 0, len(x) // 4) for d, x in zip(docs, parts))
         head += b"".join(struct.pack("<III", len(blocks[k]), len(coded[k]) // 2, zlib.crc32(p[(k - lo) * BLOCK : (k - lo + 1) * BLOCK].tobytes())) for k in range(lo, hi))
         out.append(head + b"".join(coded[lo:hi]))
     return out
 
 
-def read_records(records: list[bytes]) -> list[tuple[list[int], list[bytes]]]:
+def read_records(records: list[bytes]) -> list[tuple[list[int | None], list[bytes]]]:
     """The inverse; raises ValueError where a checksum or the layout is wrong."""
     parsed = []
     for r in records:
         if r[:4] != MAGIC or r[4] != VERSION:
             raise ValueError("not a record of this format")
-        method, n_docs, n_blocks, n_known = struct.unpack_from("<BIII", r, 5)
-        at = 18
+        method, n_docs, n_none, n_blocks, n_known = struct.unpack_from("<BIIII", r, 5)
+        at = 22
         known = np.frombuffer(r, "<u4", n_known, at)
         at += 4 * n_known
         docs = np.frombuffer(r, np.dtype([("id", "<i8"), ("n", "<u4")]), n_docs, at)
@@ -289,7 +289,7 @@ def read_records(records: list[bytes]) -> list[tuple[list[int], list[bytes]]]:
         at += 12 * n_blocks
         ends = at + np.cumsum(blocks["words"].astype(np.int64) * 2)
         coded = [r[e - 2 * w : e] for e, w in zip(ends.tolist(), blocks["words"].tolist())]
-        parsed.append((method, known, docs, blocks, coded))
+        parsed.append((method, known, docs, blocks, coded, n_none))
     dense: list = []
     todo = [(k, c, int(n), len(p[1])) for k, p in enumerate(parsed) if p[0] for c, n in zip(p[4], p[3]["n"])]
     for alphabet in dict.fromkeys(x[3] for x in todo):
@@ -301,14 +301,14 @@ def read_records(records: list[bytes]) -> list[tuple[list[int], list[bytes]]]:
     for k, ids in dense:
         by[k].append(parsed[k][1][ids])
     out = []
-    for k, (method, _, docs, blocks, coded) in enumerate(parsed):
+    for k, (method, _, docs, blocks, coded, n_none) in enumerate(parsed):
         ids = by[k] if method else [np.frombuffer(c, "<u4") for c in coded]
         for x, crc in zip(ids, blocks["crc"].tolist()):
             if zlib.crc32(x.tobytes()) != crc:
                 raise ValueError("a block's checksum is wrong")
         flat = b"".join(x.tobytes() for x in ids)
         ends = np.cumsum(docs["n"].astype(np.int64)) * 4
-        out.append((docs["id"].tolist(), [flat[e - 4 * n : e] for e, n in zip(ends.tolist(), docs["n"].tolist())]))
+        out.append(([None] * n_none + docs["id"].tolist()[n_none:], [flat[e - 4 * n : e] for e, n in zip(ends.tolist(), docs["n"].tolist())]))
     return out
 
 
@@ -318,11 +318,13 @@ GROUP = 8  # records coded together: up to LANES blocks
 def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end_id: int = 1) -> DataFrame:
     """(part, seq, first_id, n_ids, record): records in ascending order of id within and across parts.
 
-    Rows of docs are dealt by ranges of the id and sorted; null ids take no part.
+    Rows of docs are dealt by ranges of the id and a hash of the text, so that rows of one id can be dealt
+    out too, and sorted; rows without an id come first. There are as many parts as the table has input
+    partitions, at least the session's shuffle partitions.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    own = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    own = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    own = own.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part = encoder(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
