@@ -19,29 +19,29 @@ MIN_LANGUAGE_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without any letter, and those whose language stays unclear over their bytes."""
     model = langid.train(table(spark, sf_dir, "documents"), where=fold(F.col("doc_id"), 4) != 2)
+    lang, score = langid.added(docs.columns)
     found = langid.predict(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), where=fold(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model).where("tox_predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model).where(F.col(toxicity.added(docs.columns)[1]) == 0).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring lines out of the texts; documents that lose all their words go."""
-    found = lines.dedup(docs).where("n_dropped = 0 or trim(text) <> ''")
+    dropped = F.col(lines.counted(docs.columns)[1])
+    found = lines.dedup(docs).where((dropped == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
+        found = found.withColumn("n_chars", F.when(dropped > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
     return found.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the smallest id, one row of it. Rows without an id stay."""
-    group = simhash.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__doc"), F.col("component_id").alias("__group")).distinct()
-    kept = docs.join(group.where("__doc = __group").select("__doc"), F.col("doc_id") == F.col("__doc"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps one row of each group of near-duplicates: the smallest id's. Other groups' rows stay, whatever their ids."""
+    return simhash.one_of_each(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
