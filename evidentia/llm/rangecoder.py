@@ -1,21 +1,28 @@
 """Token-ID files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 A file's records hold whole documents; a record's ids are cut into blocks of BLOCK ids. Within a block
-nothing is known at first. Each id is one symbol, coded under a mixture of three adaptive
-distributions: the id that last followed the two ids before it (order 2), the one that last followed
-the id before it (order 1), an id the block has not had, or one that it has had, by the size class of
-its rank of first appearance (order 0; the rank's lower bits follow). Each order's distribution is
-chosen by how well its prediction did of late, and the mixture's weights follow whichever order
-predicts best. All arithmetic is on whole numbers, so any machine decodes what another wrote.
+nothing is known at first. Each id begins with one decision: it is the id that last followed the two
+ids before it (order 2), the one that last followed the id before it (order 1), one that the block has
+not had, or one that it has had. The decision is coded under a mixture of three adaptive distributions,
+one for the block (order 0) and one for each prediction, chosen by how well that prediction did of
+late; the mixture's weights follow whichever predicts best. An id that the block has had goes on by the
+size class of its rank of first appearance (order 0: two adaptive decisions) and the rank's lower bits, a
+new one by its place in the record's alphabet. All arithmetic is on whole numbers, so any machine
+decodes what another wrote.
 
 Blocks are lanes: numpy steps through all blocks of a group at once, so the interpreter's cost is
-shared by up to LANES blocks. Every block carries its number of ids, its coded size and the crc32 of
-its ids, and can be decoded alone.
-
-Record layout (little-endian): magic ``EVTK``, version u8, method u8, documents u32, documents without
-an id u32 (they come first), blocks u32, alphabet u32; the alphabet's ids (u32 each, ascending); per document id i64 and count u32; per block
-ids u32, words u32, crc32 u32; the blocks' 16-bit words. Method 1 is the coder; method 0 (more than
-65536 different ids in a record) stores the ids themselves.
+shared by up to LANES blocks. A distribution of four outcomes is one whole number with three cumulative
+frequencies in fields of 21 bits, so that mixing and learning are done on all of them at once. The coder
+keeps 62 bits of low; carries are added to the words before them at the end. Every block carries its
+number of ids, its coded size and the crc32 of its ids, and can be decoded alone.
+
+Record layout (little-endian): magic ``EVTK``, version u8, documents u32, documents without an id u32
+(they come first), blocks u32, alphabet u32; the alphabet's ids (u32 each, ascending); per document id
+i64 and count u32; per block ids u32, words u32, crc32 u32; the blocks' 16-bit words.
+
+Null and empty texts have the end id alone. Documents without an id come first; documents of one id go
+by a hash of their texts, then by the texts, and equal rows are written as often as they stand there.
+Extra columns are ignored; an empty table gives no record.
 """
 
 from __future__ import annotations
@@ -32,109 +39,131 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.tokens import BATCH, encoder
 
-BLOCK = 4096
-LANES = 1024
+BLOCK = 2048
+LANES = 4096
 RECORD = 1 << 19  # ids after which a record is closed, at the end of a document
 TOKENIZER = "word_bpe_49k.json"
-MAGIC, VERSION = b"EVTK", 2
+MAGIC, VERSION = b"EVTK", 3
+
+TABLE = 1 << 10  # contexts of either order that a block remembers
+HIT2, HIT1, NEW, SEEN = range(4)
+CLASS = np.array([x.bit_length() for x in range(BLOCK)], np.int64)  # of a rank; its bits under the highest follow
 
-SYMBOLS = 3 + BLOCK.bit_length()  # order-2 hit, order-1 hit, new id, rank classes
-TABLE = 1 << 11
-ONE = 1 << 12
-CLASS = np.array([x.bit_length() for x in range(BLOCK + 1)], np.int64)
-FLOOR = np.arange(SYMBOLS + 1, dtype=np.int32)  # every symbol keeps a frequency of one
-RAISE = np.array([[(ONE >> 5) * (j > s) for j in range(SYMBOLS + 1)] for s in range(SYMBOLS)], np.int32)
+# A distribution of four outcomes: cumulative frequencies after the first, second and third, out of ONE, in fields of FIELD bits.
+FIELD, ONE = 21, 4092
+RATE = 5
+START = sum((k * ONE // 4) << (FIELD * (k - 1)) for k in (1, 2, 3))
+LOW = sum((ONE >> RATE) << (FIELD * k) for k in range(3))
+RAISE = np.array([sum((ONE >> RATE) << (FIELD * (k - 1)) for k in (1, 2, 3) if outcome < k) for outcome in range(4)], np.int64)
+BITS = 12  # of a decision: every outcome keeps a frequency of one, and ONE + 4 is 1 << BITS
+# of the cumulative frequency number k: where it stands, what is kept, what is added
+SHIFT, KEEP, ADD = np.array([0, 0, FIELD, 2 * FIELD, 0]), np.array([0, 4095, 4095, 4095, 0]), np.array([0, 1, 2, 3, 1 << BITS])
+ORDERS, PER = 3, 13  # distributions mixed; and of a lane: one of its own, six of either prediction
+WEIGHT, SHARE, TURN = 512, 480, 4  # sum of the weights, what is shared by merit, steps between two changes
 
 
 class _Model:
-    """State of all lanes; the first ``n`` of them are at work. Distributions are kept as cumulative sums, which mix like the frequencies themselves."""
+    """State of all lanes; the first ``n`` of them are at work."""
 
     def __init__(self, lanes: int) -> None:
-        self.pred1 = np.full(lanes * TABLE, -1, np.int32)  # id << 2 | confidence
-        self.pred2 = np.full(lanes * TABLE, -1, np.int32)
-        start = (FLOOR * ((ONE - 64) // SYMBOLS)).astype(np.int32)
-        self.dist = [np.tile(start, (lanes * k, 1)) for k in (1, 10, 10)]
-        self.weight = np.full((3, lanes, 1), ONE // 3, np.int32)
+        self.pred = np.zeros(2 * lanes * TABLE, np.int32)  # (id + 1) << 1 | whether it was right the last time; 0: none
+        self.dist = np.full(lanes * PER, START, np.int64)
+        self.high, self.low = np.full(lanes, START, np.int64), np.full(lanes * 4, START, np.int64)
+        self.merit = np.full((2, lanes), SHARE // 3, np.int64)
+        self.weight = np.empty((3, lanes), np.int64)
         self.lane = np.arange(lanes)
-        self.slot, self.ten = self.lane * TABLE, self.lane * 10
-        self.last1 = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.slot = np.stack([self.lane * (2 * TABLE), self.lane * (2 * TABLE) + TABLE])
+        self.base = np.stack([self.lane * PER, self.lane * PER + 1, self.lane * PER + 7])
+        self.hash1, self.hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.cum = np.zeros((5, lanes), np.int64)
+        self.cum[4] = 1 << BITS
+        self.steps = 0
+        self._weigh(lanes)
+
+    def _weigh(self, n: int) -> None:
+        w = self.weight[:, :n]
+        np.add(self.merit[:, :n], (WEIGHT - SHARE) // 4, out=w[1:])
+        np.subtract(WEIGHT, w[1] + w[2], out=w[0])
 
     def look(self, n: int) -> np.ndarray:
-        """Cumulative frequencies (n, SYMBOLS + 1) of the next symbol."""
-        h1 = self.last1[:n] * 40503
-        self.at1 = self.slot[:n] + (h1 >> 3 & (TABLE - 1))
-        self.at2 = self.slot[:n] + ((self.last2[:n] * 51787 + h1) >> 3 & (TABLE - 1))
-        self.p1, self.p2 = self.pred1[self.at1], self.pred2[self.at2]
-        self.id1, self.id2 = self.p1 >> 2, self.p2 >> 2  # -1 without a prediction
-        c1, c2 = np.where(self.p1 < 0, 0, (self.p1 & 3) + 1), np.where(self.p2 < 0, 0, (self.p2 & 3) + 1)
-        self.rows = (self.lane[:n], self.ten[:n] + c1 * 2 + (self.p2 < 0), self.ten[:n] + c2 * 2 + (self.id1 == self.id2))
-        self.got = [np.take(d, r, axis=0) for d, r in zip(self.dist, self.rows)]
-        mixed = self.got[0] * self.weight[0, :n]
-        mixed += self.got[1] * self.weight[1, :n]
-        mixed += self.got[2] * self.weight[2, :n]
-        mixed >>= 12
-        mixed += FLOOR
-        return mixed
-
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        n = len(ids)
-        lane = self.lane[:n]
-        parts = np.stack([g[lane, symbol + 1] - g[lane, symbol] + 1 for g in self.got])
-        weight = self.weight[:, :n, 0]
-        weight += ((parts << 12) // parts.sum(axis=0) - weight) >> 5
-        np.maximum(weight, 64, out=weight)
-        up = np.take(RAISE, symbol, axis=0)
-        for k in range(3):
-            new = self.got[k]
-            new -= new >> 5
-            new += up
-            self.dist[k][self.rows[k]] = new
-        coded = ids << 2
-        for pred, at, old, mine in ((self.pred1, self.at1, self.p1, self.id1), (self.pred2, self.at2, self.p2, self.id2)):
-            pred[at] = np.where(mine == ids, np.minimum(old + 1, old | 3), np.where((old >= 0) & (old & 3 > 1), old - 2, coded))
-        self.last2[:n], self.last1[:n] = self.last1[:n], ids
+        """Cumulative frequencies (5, lanes) of the next decision."""
+        at = np.empty((2, n), np.int64)
+        np.bitwise_and(self.hash1[:n] >> 7, TABLE - 1, out=at[0])
+        np.bitwise_and((self.hash2[:n] * 5 + self.hash1[:n]) >> 9, TABLE - 1, out=at[1])
+        at += self.slot[:, :n]
+        self.at = at
+        self.p = p = self.pred.take(at)
+        self.id = p >> 1  # 0 without a prediction
+        self.known = p & 1
+        know = np.minimum(p, 1)
+        know += self.known
+        know <<= 1
+        know += self.id[0] == self.id[1]
+        self.rows = rows = self.base[:, :n].copy()
+        rows[1:] += know
+        self.got = got = self.dist.take(rows)
+        part = got * self.weight[:, :n]
+        mixed = part[0]
+        mixed += part[1]
+        mixed += part[2]
+        _spread(mixed >> 9, self.cum[:, :n])
+        return self.cum
+
+    def learn(self, outcome: np.ndarray, ids: np.ndarray) -> None:
+        n, got = len(ids), self.got
+        self.steps += 1
+        if not self.steps % TURN:
+            parts = ((got >> SHIFT[outcome + 1]) & KEEP[outcome + 1]) + ADD[outcome + 1] - ((got >> SHIFT[outcome]) & KEEP[outcome]) - ADD[outcome]
+            merit = self.merit[:, :n]
+            merit += (parts[1:] * SHARE // parts.sum(axis=0) - merit) >> 3
+            self._weigh(n)
+        self.dist[self.rows] = got + RAISE[outcome] - ((got >> RATE) & LOW)
+        # a prediction that was right, or that takes the place of one without credit, or that loses its credit
+        p, coded = self.p, (ids.astype(np.int32) + np.int32(1)) << 1
+        new = np.where(self.known > 0, p - 1, coded)
+        np.copyto(new, coded | 1, where=self.id == coded >> 1)
+        self.pred[self.at] = new
+        self.hash2[:n] = self.hash1[:n]
+        np.multiply(ids, 2654435, out=self.hash1[:n])
+
+
+def _spread(packed: np.ndarray, out: np.ndarray) -> None:
+    """Rows 1 to 3 of cumulative frequencies."""
+    np.bitwise_and(packed, 4095, out=out[1])
+    np.bitwise_and(packed >> FIELD, 4095, out=out[2])
+    np.bitwise_and(packed >> 2 * FIELD, 4095, out=out[3])
+    out[1:4] += ADD[1:4, None]
 
 
 def _ranks(ids: np.ndarray) -> np.ndarray:
     """For each id its rank of first appearance; -1 where it is new."""
-    _, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first)] = np.arange(len(first))
-    out = rank[inverse]
+    small = ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids  # sorted by digits
+    order = small.argsort(kind="stable")
+    in_order = ids[order]
+    fresh = np.empty(len(ids), bool)
+    fresh[:1] = True
+    np.not_equal(in_order[1:], in_order[:-1], out=fresh[1:])
+    first = order[fresh]
+    rank = np.empty(len(first), np.int16)
+    rank[first.astype(np.uint16).argsort(kind="stable")] = np.arange(len(first), dtype=np.int16)
+    out = np.empty(len(ids), np.int16)
+    out[order] = rank[fresh.cumsum() - 1]
     out[first] = -1
     return out
 
 
-_MASK = np.uint64((1 << 48) - 1)
-_TOP, _BOT = np.uint64(1 << 32), np.uint64(1 << 16)
-_16, _32 = np.uint64(16), np.uint64(32)
-
+# An id takes BITS for its decision and at most 2 * BITS + 10 for a rank or 32 for a new id: never more than TOP bits of range.
+TOP, WORD = 46, 16
+_FULL = (1 << TOP + WORD) - 1
 
-def _settle(low: np.ndarray, rng: np.ndarray, put) -> None:
-    """Move settled 16-bit words out of all lanes."""
-    while True:
-        move = (low ^ (low + rng)) < _TOP
-        tight = ~move & (rng < _BOT)
-        move |= tight
-        i = np.flatnonzero(move)
-        if not len(i):
-            return
-        if tight.any():
-            j = np.flatnonzero(tight)
-            rng[j] = (~low[j] + np.uint64(1)) & (_BOT - np.uint64(1))
-        put(i, low[i] >> _32)
-        low[i] = (low[i] << _16) & _MASK
-        rng[i] <<= _16
 
-
-def _settle_tight(low: np.ndarray, rng: np.ndarray, put) -> None:
-    """Settle the lanes whose range is short of _ROOM: each lane by itself, so that a block is coded alike in any company."""
-    i = np.flatnonzero(rng < _ROOM)
-    if len(i):
-        lo, r = low[i], rng[i]
-        _settle(lo, r, lambda j, w: put(i[j], w))
-        low[i], rng[i] = lo, r
+def _settle(rng: np.ndarray, put) -> None:
+    """Move words out of the lanes whose range is short: each lane by itself, so that a block is coded alike in any company."""
+    i = np.flatnonzero(rng < 1 << TOP)
+    while len(i):
+        put(i)
+        rng[i] <<= WORD
+        i = i[rng[i] < 1 << TOP]
 
 
 def _lengths(sizes: np.ndarray) -> list[int]:
@@ -142,132 +171,197 @@ def _lengths(sizes: np.ndarray) -> list[int]:
     return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")).tolist()
 
 
-_ROOM = np.uint64(1 << 17)  # a range that a symbol's lower bits can be coded in without settling first
-
-
-def _bits(symbol: np.ndarray, bits: int) -> np.ndarray:
-    """Lower bits that follow a symbol."""
-    return np.where(symbol == 2, bits, np.maximum(symbol - 4, 0))
-
-
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """Coded words of each block of ids under ``alphabet`` (at most 65536)."""
+    """Coded words of each block of ids under ``alphabet``."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
     if not len(sizes) or not sizes[0]:
         return [b""] * len(blocks)
-    ids_of = np.zeros((int(sizes[0]), len(order)), np.int32)
-    rank_of = np.zeros((int(sizes[0]), len(order)), np.int32)
+    lanes, bits = len(order), max(1, (alphabet - 1).bit_length())
+    ids_of = np.zeros((int(sizes[0]), lanes), np.int32)
+    rank_of = np.zeros((int(sizes[0]), lanes), np.int16)
     for k, i in enumerate(order):
         ids_of[: sizes[k], k] = blocks[i]
         rank_of[: sizes[k], k] = _ranks(blocks[i])
-    model, bits = _Model(len(order)), max(1, (alphabet - 1).bit_length())
-    low, rng = np.zeros(len(order), np.uint64), np.full(len(order), (1 << 48) - 1, np.uint64)
-    words, used = np.zeros((len(order), 3 * int(sizes[0]) + 8), np.uint16), np.zeros(len(order), np.int64)
-
-    def put(i: np.ndarray, w: np.ndarray) -> None:
-        words[i, used[i]] = w
-        used[i] += 1
+    model = _Model(lanes)
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
+    words = np.zeros((3 * int(sizes[0]) + 8, lanes), np.int32)  # lanes move on much alike, so their words stand side by side
+    flat, at_word = words.reshape(-1), model.lane.copy()
+
+    def put(i: np.ndarray) -> None:
+        at, lo = at_word[i], low[i]
+        flat[at] = lo >> TOP
+        at_word[i] = at + lanes
+        low[i] = (lo & (1 << TOP) - 1) << WORD
+
+    def decide(dist: np.ndarray, at: np.ndarray, outcome: np.ndarray, lo: np.ndarray, r: np.ndarray) -> None:
+        """Code one decision each under a distribution of its own, which learns."""
+        got = dist[at]
+        a = ((got >> SHIFT[outcome]) & KEEP[outcome]) + ADD[outcome]
+        b = ((got >> SHIFT[outcome + 1]) & KEEP[outcome + 1]) + ADD[outcome + 1]
+        r >>= BITS
+        lo += a * r
+        r *= b - a
+        dist[at] = got + RAISE[outcome] - ((got >> RATE) & LOW)
 
     for t, n in enumerate(_lengths(sizes)):
-        ids, rank = ids_of[t, :n], rank_of[t, :n]
+        ids, rank = ids_of[t, :n].astype(np.int64), rank_of[t, :n].astype(np.int64)
         cum = model.look(n)
-        lane = model.lane[:n]
-        symbol = np.where(rank < 0, 2, 3 + CLASS[rank])
-        symbol = np.where(ids == model.id1, 1, symbol)
-        symbol = np.where(ids == model.id2, 0, symbol)
+        hit = model.id == ids + 1
+        outcome = np.where(hit[1], HIT2, np.where(hit[0], HIT1, np.where(rank < 0, NEW, SEEN)))
+        at = outcome * lanes
+        at += model.lane[:n]
+        a = cum.take(at)
+        at += lanes
         lo, r = low[:n], rng[:n]
-        a, b = cum[lane, symbol], cum[lane, symbol + 1]
-        r //= cum[:, -1].astype(np.uint64)
-        lo += a.astype(np.uint64) * r
-        r *= (b - a).astype(np.uint64)
-        width = _bits(symbol, bits)
-        _settle_tight(lo, r, put)
-        value = np.where(symbol == 2, ids, np.where(symbol > 4, rank - (1 << np.maximum(symbol - 4, 0)), 0)).astype(np.uint64)
-        r >>= width.astype(np.uint64)
-        lo += value * r
-        _settle(lo, r, put)
-        model.learn(symbol, ids)
-    for shift in (32, 16, 0):
-        put(model.lane, (low >> np.uint64(shift)) & np.uint64(0xFFFF))
+        r >>= BITS
+        lo += a * r
+        r *= cum.take(at) - a
+        i = np.flatnonzero(outcome == SEEN)
+        if len(i):
+            lo_i, r_i, own = lo[i], r[i], rank[i]
+            size = CLASS[own]
+            decide(model.high, i, size >> 2, lo_i, r_i)
+            decide(model.low, i * 4 + (size >> 2), size & 3, lo_i, r_i)
+            rest = np.maximum(size - 1, 0)
+            r_i >>= rest
+            lo_i += (own & ((1 << rest) - 1)) * r_i
+            lo[i], r[i] = lo_i, r_i
+        i = np.flatnonzero(outcome == NEW)
+        if len(i):
+            r_i = r[i] >> bits
+            lo[i] += ids[i] * r_i
+            r[i] = r_i
+        _settle(r, put)
+        model.learn(outcome, ids)
+    for _ in range(4):
+        put(model.lane)
+    carry = np.zeros(lanes, np.int32)
+    used = at_word // lanes
+    for row in words[int(used.max()) - 1 :: -1]:  # carries, from the last word to the first
+        row += carry
+        carry = row >> WORD
+    plain = np.ascontiguousarray(words[: int(used.max())].T).astype("<u2")
     out = [b""] * len(blocks)
     for k, i in enumerate(order):
-        out[i] = words[k, : used[k]].astype("<u2").tobytes()
+        out[i] = plain[k, : used[k]].tobytes()
     return out
 
 
-def decode_blocks(coded: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], sizes: list[int], alphabet: int | list[int]) -> list[np.ndarray]:
+    """Ids of each block; ``alphabet`` is one size or each block's."""
     order = sorted(range(len(coded)), key=lambda i: -sizes[i])
-    size = np.array([sizes[i] for i in order])
-    if not len(size) or not size[0]:
+    size_of = np.array([sizes[i] for i in order])
+    if not len(size_of) or not size_of[0]:
         return [np.empty(0, np.int32)] * len(coded)
+    lanes, most = len(order), np.broadcast_to(np.array(alphabet), len(coded))[order] - 1
+    bits = np.array([max(1, int(x).bit_length()) for x in most])
     n_words = np.array([len(coded[i]) // 2 for i in order])
-    words = np.zeros((len(order), max(3, int(n_words.max()))), np.uint16)
+    width = max(4, int(n_words.max())) + 2
+    words = np.zeros((lanes, width), np.int64)
     for k, i in enumerate(order):
         words[k, : n_words[k]] = np.frombuffer(coded[i], "<u2")
-    model, bits = _Model(len(order)), max(1, (alphabet - 1).bit_length())
-    low, rng = np.zeros(len(order), np.uint64), np.full(len(order), (1 << 48) - 1, np.uint64)
-    code = words[:, 0].astype(np.uint64) << _32 | words[:, 1].astype(np.uint64) << _16 | words[:, 2].astype(np.uint64)
-    at = np.full(len(order), 3, np.int64)
-    most = words.shape[1] - 1
-    ids_of = np.zeros((int(size[0]), len(order)), np.int32)
-    by_rank, known = np.zeros(len(order) * (BLOCK + 1), np.int32), np.zeros(len(order), np.int64)
-    first = model.lane * (BLOCK + 1)
-
-    def put(i: np.ndarray, _) -> None:
-        code[i] = (code[i] << _16 & _MASK) | words[i, np.minimum(at[i], most)]
-        at[i] += 1
-
-    for t, n in enumerate(_lengths(size)):
+    # the first 62 bits are three words and 14 bits of the fourth; what follows is read in words from there on
+    cut = 3 * WORD + WORD - (TOP + WORD)
+    code = (words[:, 0] << TOP) + (words[:, 1] << TOP - WORD) + (words[:, 2] << TOP - 2 * WORD) + (words[:, 3] >> cut)
+    flat = np.ascontiguousarray(((words[:, 3:-1] << WORD - cut) & (1 << WORD) - 1 | words[:, 4:] >> cut).astype(np.uint16).T).reshape(-1)
+    model = _Model(lanes)
+    rng, at = np.full(lanes, _FULL, np.int64), model.lane.copy()
+    last = len(flat) - lanes + model.lane
+    ids_of = np.zeros((int(size_of[0]), lanes), np.int32)
+    by_rank, first = np.zeros(lanes * BLOCK, np.int32), model.lane * BLOCK
+    known = np.zeros(lanes, np.int64)
+
+    def put(i: np.ndarray) -> None:
+        own = at[i]
+        code[i] = code[i] << WORD | flat.take(own)
+        at[i] = np.minimum(own + lanes, last[i])
+
+    def decide(dist: np.ndarray, at: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Decode one decision each."""
+        got = dist[at]
+        cum = np.zeros((5, len(at)), np.int64)
+        cum[4] = 1 << BITS
+        _spread(got, cum)
+        r >>= BITS
+        outcome = (c >= cum[1] * r).astype(np.int64)
+        outcome += c >= cum[2] * r
+        outcome += c >= cum[3] * r
+        where = outcome * len(at) + np.arange(len(at))
+        a = cum.take(where)
+        c -= a * r
+        r *= cum.take(where + len(at)) - a
+        dist[at] = got + RAISE[outcome] - ((got >> RATE) & LOW)
+        return outcome
+
+    for t, n in enumerate(_lengths(size_of)):
         cum = model.look(n)
-        lane = model.lane[:n]
-        lo, r, c = low[:n], rng[:n], code[:n]
-        r //= cum[:, -1].astype(np.uint64)
-        want = np.minimum((c - lo) // r, (cum[:, -1] - 1).astype(np.uint64)).astype(np.int32)
-        symbol = (cum[:, 1:] <= want[:, None]).sum(axis=1)
-        a, b = cum[lane, symbol], cum[lane, symbol + 1]
-        lo += a.astype(np.uint64) * r
-        r *= (b - a).astype(np.uint64)
-        width = _bits(symbol, bits).astype(np.uint64)
-        _settle_tight(lo, r, put)
-        r >>= width
-        v = np.minimum((c - lo) // r, (np.uint64(1) << width) - np.uint64(1))
-        lo += v * r
-        _settle(lo, r, put)
-        value = v.astype(np.int64)
-        rank = np.where(symbol > 3, value + (1 << np.maximum(symbol - 4, 0)), 0)
-        ids = np.where(symbol == 2, value, by_rank[first[:n] + np.minimum(rank, BLOCK)])
-        ids = np.where(symbol == 1, model.id1, np.where(symbol == 0, model.id2, ids)).astype(np.int32)
-        ids = np.clip(ids, 0, alphabet - 1)  # only a damaged block leaves the alphabet; its checksum tells
-        new = np.flatnonzero(symbol == 2)
-        if len(new):
-            by_rank[first[new] + known[new]] = ids[new]
-            known[new] += 1
-        model.learn(symbol, ids)
+        c, r = code[:n], rng[:n]
+        r >>= BITS
+        outcome = (c >= cum[1, :n] * r).astype(np.int64)
+        outcome += c >= cum[2, :n] * r
+        outcome += c >= cum[3, :n] * r
+        where = outcome * lanes
+        where += model.lane[:n]
+        a = cum.take(where)
+        where += lanes
+        c -= a * r
+        r *= cum.take(where) - a
+        ids = np.where(outcome == HIT2, model.id[1], model.id[0]) - 1
+        i = np.flatnonzero(outcome == SEEN)
+        if len(i):
+            c_i, r_i = c[i], r[i]
+            size = decide(model.high, i, c_i, r_i)
+            size = size * 4 + decide(model.low, i * 4 + size, c_i, r_i)
+            rest = np.maximum(size - 1, 0)
+            r_i >>= rest
+            low = np.minimum(c_i // r_i, (1 << rest) - 1)
+            c[i], r[i] = c_i - low * r_i, r_i
+            rank = np.where(size > 0, low | (1 << rest), 0)
+            ids[i] = by_rank[first[i] + np.minimum(rank, BLOCK - 1)]
+        i = np.flatnonzero(outcome == NEW)
+        if len(i):
+            r_i = r[i] >> bits[i]
+            new = np.minimum(c[i] // r_i, most[i])  # only a damaged block leaves the alphabet; its checksum tells
+            c[i] -= new * r_i
+            r[i] = r_i
+            ids[i] = new
+            by_rank[first[i] + known[i]] = new
+            known[i] += 1
+        np.maximum(ids, 0, out=ids)
+        np.maximum(r, 1, out=r)
+        _settle(r, put)
+        model.learn(outcome, ids)
         ids_of[t, :n] = ids
     out: list = [None] * len(coded)
     for k, i in enumerate(order):
-        out[i] = ids_of[: size[k], k]
+        out[i] = ids_of[: size_of[k], k]
     return out
 
 
+def _parts(items: list) -> list[list]:
+    """About LANES items each, evenly."""
+    n = max(1, round(len(items) / LANES))
+    size = max(1, -(-len(items) // n))
+    return [items[i : i + size] for i in range(0, len(items), size)]
+
+
 def write_records(records: list[tuple[list[int | None], list[bytes]]]) -> list[bytes]:
     """Records (document ids, those without first; their little-endian u32 ids) as bytes; all blocks are coded together."""
     plain = [np.frombuffer(b"".join(parts), "<u4") for _, parts in records]
     known = np.unique(np.concatenate([np.unique(p) for p in plain])) if plain else np.empty(0, "<u4")
-    method = int(len(known) <= 65536)
     blocks, at = [], []
     for p in plain:
-        dense = np.searchsorted(known, p).astype(np.int32) if method else p
+        dense = np.searchsorted(known, p).astype(np.int32)
         at.append((len(blocks), len(blocks) + -(-len(p) // BLOCK)))
         blocks += [dense[i : i + BLOCK] for i in range(0, len(p), BLOCK)]
     coded = []
-    for i in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[i : i + LANES], len(known)) if method else [b.astype("<u4").tobytes() for b in blocks[i : i + LANES]]
+    for part in _parts(blocks):
+        coded += encode_blocks(part, len(known))
     out = []
     for (docs, parts), p, (lo, hi) in zip(records, plain, at):
-        head = MAGIC + struct.pack("<BBIIII", VERSION, method, len(docs), docs.count(None), hi - lo, len(known) * method)
-        head += known.astype("<u4").tobytes() * method + b"".join(struct.pack("<qI", d or 0, len(x) // 4) for d, x in zip(docs, parts))
+        head = MAGIC + struct.pack("<BIIII", VERSION, len(docs), docs.count(None), hi - lo, len(known))
+        head += known.astype("<u4").tobytes() + b"".join(struct.pack("<qI", d or 0, len(x) // 4) for d, x in zip(docs, parts))
         head += b"".join(struct.pack("<III", len(blocks[k]), len(coded[k]) // 2, zlib.crc32(p[(k - lo) * BLOCK : (k - lo + 1) * BLOCK].tobytes())) for k in range(lo, hi))
         out.append(head + b"".join(coded[lo:hi]))
     return out
@@ -279,8 +373,8 @@ def read_records(records: list[bytes]) -> list[tuple[list[int | None], list[byte
     for r in records:
         if r[:4] != MAGIC or r[4] != VERSION:
             raise ValueError("not a record of this format")
-        method, n_docs, n_none, n_blocks, n_known = struct.unpack_from("<BIIII", r, 5)
-        at = 22
+        n_docs, n_none, n_blocks, n_known = struct.unpack_from("<IIII", r, 5)
+        at = 21
         known = np.frombuffer(r, "<u4", n_known, at)
         at += 4 * n_known
         docs = np.frombuffer(r, np.dtype([("id", "<i8"), ("n", "<u4")]), n_docs, at)
@@ -289,20 +383,17 @@ def read_records(records: list[bytes]) -> list[tuple[list[int | None], list[byte
         at += 12 * n_blocks
         ends = at + np.cumsum(blocks["words"].astype(np.int64) * 2)
         coded = [r[e - 2 * w : e] for e, w in zip(ends.tolist(), blocks["words"].tolist())]
-        parsed.append((method, known, docs, blocks, coded, n_none))
+        parsed.append((known, docs, blocks, coded, n_none))
     dense: list = []
-    todo = [(k, c, int(n), len(p[1])) for k, p in enumerate(parsed) if p[0] for c, n in zip(p[4], p[3]["n"])]
-    for alphabet in dict.fromkeys(x[3] for x in todo):
-        own = [x for x in todo if x[3] == alphabet]
-        for i in range(0, len(own), LANES):
-            part = own[i : i + LANES]
-            dense += zip([x[0] for x in part], decode_blocks([x[1] for x in part], [x[2] for x in part], alphabet))
+    todo = [(k, c, int(n), len(p[0])) for k, p in enumerate(parsed) for c, n in zip(p[3], p[2]["n"])]
+    for part in _parts(todo):
+        dense += zip([x[0] for x in part], decode_blocks([x[1] for x in part], [x[2] for x in part], [x[3] for x in part]))
     by: list[list] = [[] for _ in parsed]
     for k, ids in dense:
-        by[k].append(parsed[k][1][ids])
+        by[k].append(parsed[k][0][ids])
     out = []
-    for k, (method, _, docs, blocks, coded, n_none) in enumerate(parsed):
-        ids = by[k] if method else [np.frombuffer(c, "<u4") for c in coded]
+    for k, (_, docs, blocks, _, n_none) in enumerate(parsed):
+        ids = by[k]
         for x, crc in zip(ids, blocks["crc"].tolist()):
             if zlib.crc32(x.tobytes()) != crc:
                 raise ValueError("a block's checksum is wrong")
@@ -312,7 +403,7 @@ def read_records(records: list[bytes]) -> list[tuple[list[int | None], list[byte
     return out
 
 
-GROUP = 8  # records coded together: up to LANES blocks
+GROUP = 16  # records coded together: LANES blocks or a few more
 
 
 def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end_id: int = 1) -> DataFrame:
