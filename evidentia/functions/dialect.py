@@ -133,6 +133,10 @@ class Dialect:
         """keep: columns of source; name: the element."""
         return f"select {keep}, {name} from {source} lateral view explode({xs}) as {name}"
 
+    def explode_at(self, source: str, xs: str, name: str, keep: str) -> str:
+        """The same with the element's place, from 1, as <name>_at."""
+        return f"select {keep}, {name}, {name}_0 + 1 as {name}_at from {source} lateral view posexplode({xs}) as {name}_0, {name}"
+
     def collect(self, x: str, order: str) -> str:
         """Elements in ascending order of ``order``, null elements left out."""
         return f"transform(array_sort(collect_list(case when {x} is not null then named_struct('o', {order}, 'x', {x}) end)), s -> s.x)"
@@ -291,6 +295,9 @@ class Duck(Dialect):
     def explode(self, source: str, xs: str, name: str, keep: str) -> str:
         return f"select {keep}, unnest({xs}) as {name} from {source}"
 
+    def explode_at(self, source: str, xs: str, name: str, keep: str) -> str:
+        return f"select {keep}, unnest({xs}) as {name}, generate_subscripts({xs}, 1) as {name}_at from {source}"
+
     def collect(self, x: str, order: str) -> str:
         return f"coalesce(list({x} order by {order}) filter (where {x} is not null), [])"
 

@@ -7,9 +7,11 @@ smaller card_id. Ids and ranks travel narrow; card text is joined last.
 from __future__ import annotations
 
 from evidentia.functions.dialect import Pipe
+from evidentia.functions.stem import add_stems
 from evidentia.sources.adapters import cards, claims
 
-WORD = r"[\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{331}]*"
+FIELDS = ("tag", "card_name", "citation", "body")
 RRF_K = 60
 
 
@@ -29,42 +31,91 @@ def advanced(p: Pipe, x: str) -> str:
 
 
 def plain_terms(p: Pipe, x: str) -> str:
-    """Words of a plain query; an apostrophe separates, as in the index."""
-    d = p.d
-    return d.distinct(d.find_all(f"lower({x})", "[a-z0-9]+"))
+    """Words of a plain query, repeats kept; an apostrophe separates, as in the index."""
+    return p.d.find_all(f"lower({x})", "[a-z0-9]+")
 
 
 def index_terms(p: Pipe, name: str = "doc_terms") -> str:
     """Words of each card over tag, card_name, citation and body, with its length."""
     d = p.d
-    text = "concat_ws(' ', tag, card_name, citation, body)"
+    text = f"concat_ws(' ', {', '.join(FIELDS)})"
     p.columns(f"{name}_0", cards(p), keep="card_id", words=d.find_all(f"lower({text})", WORD))
     return p.keep(p.columns(name, f"{name}_0", dl=d.size("words")))
 
 
+def vocabulary(p: Pipe) -> str:
+    """(word, folded, stem) of every distinct word of the cards."""
+    if "vocabulary" not in p.parts:
+        docs = index_terms(p)
+        p.add("vocabulary_each", p.d.explode(docs, p.d.distinct("words"), "word", "card_id"))
+        p.add("vocabulary_words", "select distinct word from vocabulary_each")
+        p.keep(add_stems(p, "vocabulary", "vocabulary_words"))
+    return "vocabulary"
+
+
+def query_stems(p: Pipe, name: str, source: str, text: str = "text") -> str:
+    """(query_id, stem, m): the stems of each plain query's words and how often they stand in it."""
+    p.columns(f"{name}_0", source, keep="query_id", terms=plain_terms(p, text))
+    p.add(f"{name}_1", p.d.explode(f"{name}_0", "terms", "word", "query_id"))
+    p.add(f"{name}_2", f"select distinct word from {name}_1")
+    add_stems(p, f"{name}_3", f"{name}_2")
+    return p.keep(p.add(name, f"select q.query_id, s.stem, count(*) as m from {name}_1 q join {name}_3 s on s.word = q.word group by q.query_id, s.stem"))
+
+
+def term_weight(tf: str, df: str, dl: str = "o.dl", stats: str = "s") -> str:
+    """A term's share of a card's rank: inverse document frequency times saturated frequency."""
+    idf = f"ln(({stats}.n - {df} + 0.5e0) / ({df} + 0.5e0))"
+    return f"(case when {idf} <= 0 then 1e-6 else {idf} end) * {tf} * 2.2e0 / ({tf} + 1.2e0 * (0.25e0 + 0.75e0 * {dl} / {stats}.avgdl))"
+
+
 def bm25(p: Pipe, name: str = "fts", source: str | None = None, k: int = 50, text: str = "text") -> str:
-    """(query_id, card_id, bm25, n_matched, n_terms, rank): AND hits if a query has any, else OR hits."""
+    """(query_id, card_id, bm25, n_matched, n_terms, rank): AND hits if a query has any, else OR hits. Terms are stems; a repeated word counts as often."""
     d = p.d
     docs, source = index_terms(p), source or claims(p)
-    p.columns(f"{name}_q0", source, keep="query_id", terms=plain_terms(p, text))
-    p.add(f"{name}_q", d.explode(f"{name}_q0", "terms", "term", f"query_id, {d.size('terms')} as n_terms"))
-    p.add(f"{name}_wanted", f"select distinct term from {name}_q")
+    query_stems(p, f"{name}_q", source, text)
+    p.add(f"{name}_n", f"select query_id, count(*) as n_terms from {name}_q group by query_id")
+    # the vocabulary's words that share a stem with a query's, so that postings are cut to them before anything is counted
+    p.add(f"{name}_wanted", f"select v.word, v.stem from {vocabulary(p)} v join (select distinct stem from {name}_q) q on v.stem = q.stem")
     p.add(f"{name}_stats", f"select count(*) as n, avg(dl) as avgdl from {docs}")
-    p.add(f"{name}_words", d.explode(docs, "words", "term", "card_id, dl"))
-    p.add(f"{name}_post", f"select w.card_id, w.term, count(*) as tf, max(w.dl) as dl from {name}_words w join {name}_wanted q on w.term = q.term group by w.card_id, w.term")
-    p.add(f"{name}_df", f"select term, count(*) as df from {name}_post group by term")
-    idf = "ln((s.n - f.df + 0.5e0) / (f.df + 0.5e0))"
-    weight = f"(case when {idf} <= 0 then 1e-6 else {idf} end) * o.tf * 2.2e0 / (o.tf + 1.2e0 * (0.25e0 + 0.75e0 * o.dl / s.avgdl))"
-    p.add(
-        f"{name}_hits",
-        f"select q.query_id, o.card_id, {d.round(f'sum({weight})', 6)} as bm25, count(*) as n_matched, max(q.n_terms) as n_terms "
-        f"from {name}_q q join {name}_post o on q.term = o.term join {name}_df f on f.term = o.term cross join {name}_stats s group by q.query_id, o.card_id",
+    p.add(f"{name}_words", d.explode(docs, "words", "word", "card_id, dl"))
+    p.keep(p.add(f"{name}_post", f"select w.card_id, q.stem, count(*) as tf, max(w.dl) as dl from {name}_words w join {name}_wanted q on w.word = q.word group by w.card_id, q.stem"))
+    p.add(f"{name}_df", f"select stem, count(*) as df from {name}_post group by stem")
+    weight = term_weight("o.tf", "f.df")
+    p.keep(
+        p.add(
+            f"{name}_hits",
+            f"select q.query_id, o.card_id, {d.round(f'sum(q.m * ({weight}))', 6)} as bm25, count(*) as n_matched, max(n.n_terms) as n_terms "
+            f"from {name}_q q join {name}_n n on n.query_id = q.query_id join {name}_post o on q.stem = o.stem join {name}_df f on f.stem = o.stem cross join {name}_stats s group by q.query_id, o.card_id",
+        )
     )
-    p.add(f"{name}_mode", f"select *, max(case when n_matched = n_terms then 1 else 0 end) over (partition by query_id) as has_and from {name}_hits")
-    p.add(f"{name}_kept", f"select query_id, card_id, bm25, cast(n_matched as int) as n_matched, cast(n_terms as int) as n_terms from {name}_mode where has_and = 0 or n_matched = n_terms")
+    p.add(f"{name}_mode", f"select query_id, max(case when n_matched = n_terms then 1 else 0 end) as has_and from {name}_hits group by query_id")
+    p.add(f"{name}_kept", f"select h.query_id, h.card_id, h.bm25, cast(h.n_matched as int) as n_matched, cast(h.n_terms as int) as n_terms from {name}_hits h join {name}_mode x on x.query_id = h.query_id where x.has_and = 0 or h.n_matched = h.n_terms")
     return p.keep(top(p, name, f"{name}_kept", "bm25 desc, card_id", k))
 
 
+def prefix_hits(p: Pipe, name: str, every: bool, k: int = 20) -> str:
+    """(query_id, card_id, n_terms, score, rank): cards by how many query terms begin one of their stems; ``every``: all of the query's, and ranked by full-text weight."""
+    d = p.d
+    p.columns(f"{name}_q0", claims(p), keep="query_id", terms=d.filter(plain_terms(p, "text"), "t", "length(t) >= 2"))
+    p.add(f"{name}_q1", d.explode(f"{name}_q0", "terms", "word", "query_id"))
+    p.add(f"{name}_q2", f"select distinct word from {name}_q1")
+    add_stems(p, f"{name}_q3", f"{name}_q2")
+    p.add(f"{name}_q", f"select distinct q.query_id, s.stem as term from {name}_q1 q join {name}_q3 s on s.word = q.word")
+    # a stem's beginnings of the lengths that occur meet the terms by equality
+    p.add(f"{name}_lengths", f"select distinct length(term) as n from {name}_q")
+    p.add(f"{name}_starts", f"select v.word, left(v.stem, l.n) as start from {vocabulary(p)} v join {name}_lengths l on length(v.stem) >= l.n")
+    p.add(f"{name}_m", f"select t.term, s.word from {name}_starts s join (select distinct term from {name}_q) t on s.start = t.term")
+    p.add(f"{name}_w", d.explode(index_terms(p), "words", "word", "card_id, dl"))
+    p.keep(p.add(f"{name}_post", f"select m.term, w.card_id, count(*) as tf, max(w.dl) as dl from {name}_w w join {name}_m m on w.word = m.word group by m.term, w.card_id"))
+    p.add(f"{name}_df", f"select term, count(*) as df from {name}_post group by term")
+    p.add(f"{name}_stats", "select count(*) as n, avg(dl) as avgdl from doc_terms")
+    p.add(f"{name}_n", f"select query_id, count(*) as n_all from {name}_q group by query_id")
+    weight = term_weight("o.tf", "f.df")
+    p.add(f"{name}_h", f"select q.query_id, o.card_id, cast(count(*) as int) as n_terms, max(n.n_all) as n_all, {d.round(f'sum({weight})', 6)} as bm25 from {name}_q q join {name}_n n on n.query_id = q.query_id join {name}_post o on o.term = q.term join {name}_df f on f.term = o.term cross join {name}_stats s group by q.query_id, o.card_id")
+    p.add(f"{name}_s", f"select query_id, card_id, n_terms, bm25, {d.round('1e0 / (1e0 + bm25)', 6)} as score from {name}_h{' where n_terms = n_all' if every else ''}")
+    return top(p, name, f"{name}_s", "bm25 desc, card_id", k)
+
+
 def rank_score(p: Pipe, x: str) -> str:
     """The score of a full-text rank: better ranks are more negative."""
     d = p.d
@@ -117,8 +168,9 @@ def citation_lookup(p: Pipe, name: str = "citation_lookup", k: int = 20) -> str:
     loose = f"(({d.contains(chr(40) + 'lower(concat_ws(' + chr(39) + ' | ' + chr(39) + ', c.author, c.card_name, c.citation))' + chr(41), a)} and c.year = r.want_year) or {name_like})"
     tier = f"case when {exact} then 0 when lower(c.author) = {a} and c.year = r.want_year then 1 when {name_like} then 2 else 3 end"
     p.add(f"{name}_rows", f"select r.query_id, c.card_id, {tier} as tier, {exact} as is_exact, c.order_index, c.para from {lookup_requests(p)} r join {cards(p)} c on {exact} or {loose}")
-    p.add(f"{name}_best", f"select *, max(case when is_exact then 1 else 0 end) over (partition by query_id) as any_exact from {name}_rows")
-    p.add(f"{name}_kept", f"select query_id, card_id, tier, order_index, para from {name}_best where any_exact = 0 or is_exact")
+    p.keep(f"{name}_rows")
+    p.add(f"{name}_best", f"select query_id, max(case when is_exact then 1 else 0 end) as any_exact from {name}_rows group by query_id")
+    p.add(f"{name}_kept", f"select r.query_id, r.card_id, r.tier, r.order_index, r.para from {name}_rows r join {name}_best b on b.query_id = r.query_id where b.any_exact = 0 or r.is_exact")
     return top(p, name, f"{name}_kept", "tier, order_index, para, card_id", k)
 
 

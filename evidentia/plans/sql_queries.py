@@ -72,6 +72,11 @@ def mechanism_match(p):
     return f"select query_id, card_id, mech, {sorted_words(p, 'matched', 'missing')} from n"
 
 
+@query
+def porter_stems(p):
+    return f"select word, folded, stem from {R.vocabulary(p)}"
+
+
 # ---- query understanding ----
 
 PREFIXES = ("", "author:Adler ", "year:2001-2010 ", 'section:"src 3" ', "category:impact topical:yes ", "opponent says ", "count:75 ", "they argue ")
@@ -138,30 +143,28 @@ def fts_rank_score(p):
 
 @query
 def fts_prefix_or(p):
-    d = p.d
-    p.columns("q0", claims(p), keep="query_id", terms=d.filter(R.plain_terms(p, "text"), "t", "length(t) >= 2"))
-    p.add("q", d.explode("q0", "terms", "term", "query_id"))
-    R.index_terms(p)
-    p.add("w", d.explode("doc_terms", d.distinct("words"), "word", "card_id"))
-    p.add("v", "select distinct word from w where length(word) >= 2")
-    p.add("m", f"select q.query_id, q.term, v.word from q join v on substring(v.word, 1, 2) = substring(q.term, 1, 2) and {d.starts('v.word', 'q.term')}")
-    p.add("h", "select m.query_id, w.card_id, count(distinct m.term) as n_terms from m join w on w.word = m.word group by m.query_id, w.card_id")
-    R.top(p, "r", "h", "n_terms desc, card_id", 20)
-    return "select query_id, card_id, cast(n_terms as int) as n_terms, rank from r"
+    """Every term as the beginning of a word, any of them; the score falls as relevance grows, as the desktop search has it."""
+    R.prefix_hits(p, "r", every=False)
+    return "select query_id, card_id, n_terms, score, rank from r"
 
 
-BOOLEAN = ('"the and" OR "de la"', "license AND NOT version", "th* NOT (the OR der)", "NEAR(the and, 3)", "(die OR das) und", '"all rights reserved" OR gnu')
+@query
+def fts_prefix_and(p):
+    """The native search: every term as the beginning of a word, all of them, over the claims' first words."""
+    claims(p)
+    p.add("claims_whole", p.parts.pop("claims"))
+    p.columns("claims", "claims_whole", keep="query_id, plain", text=p.d.join(p.d.slice(p.d.split("plain", " "), "1", "cast(1 + query_id % 3 as int)"), " "))
+    R.prefix_hits(p, "r", every=True)
+    return "select query_id, card_id, n_terms, score, rank from r"
+
+
+BOOLEAN = ('"the and" OR "de la"', "license AND version NOT gnu", "th* NOT (the OR der)", "NEAR(the and, 3)", "(die OR das) und", '"all rights reserved" OR gnu')
 
 
 @query
 def fts_boolean(p):
-    d = p.d
-    R.index_terms(p)
-    p.columns("bw", "doc_terms", keep="card_id, words", joined=f"' ' || {d.join('words', ' ')} || ' '")
-    hits = d.not_null(d.array(*(f"case when {O.condition(d, q.replace('AND NOT', 'NOT'))} then {i} end" for i, q in enumerate(BOOLEAN))))
-    p.columns("bh", "bw", keep="card_id", hits=hits)
-    p.add("bx", d.explode("bh", "hits", "query_no", "card_id"))
-    return "select query_no, card_id from bx"
+    O.search(p, BOOLEAN)
+    return "select query_no, card_id, bm25, rank from boolean"
 
 
 @query

@@ -99,18 +99,25 @@ def test_schedule():
     assert [(p.rounds, p.depth, p.novel) for p in done] == [(3, 16, 16), (1, 4, 0), (1, 4, 0), (0, 0, 0), (1, 4, 3)]
 
 
-def test_boolean(spark):
+def test_boolean(spark, tmp_path):
     import pytest
 
-    from evidentia.functions.dialect import SPARK
-    from evidentia.operators.boolean import condition
-
-    rows = spark.createDataFrame([(1, "free trade helps growth"), (2, "trade wars harm free growth"), (3, "nothing")], "id int, t string").selectExpr("id", "split(t, ' ') as words", "concat(' ', t, ' ') as joined")
-    ask = lambda q: [r.id for r in rows.where(condition(SPARK, q)).orderBy("id").collect()]
-    assert ask("free trade") == [1, 2] and ask('"free trade"') == [1] and ask("trade NOT wars OR nothing") == [1, 3] and ask("(wars OR helps) AND grow*") == [1, 2] and ask("NEAR(trade free, 1)") == [1] and ask("NEAR(free trade, 2)") == [1, 2]
+    from evidentia.functions.dialect import SPARK, Pipe
+    from evidentia.operators.boolean import Parser, search
+    from evidentia.plans import registry
+
+    rows = [(1, "free trade helps growth"), (2, "trade wars harm free growth"), (3, "nothing")]
+    spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = ("free trade", '"free trade"', "trade NOT wars OR nothing", "(wars OR helps) AND grow*", "NEAR(trade free, 1)", "NEAR(free trade, 2)")
+    p = Pipe(SPARK)
+    search(p, asked)
+    found = [[] for _ in asked]
+    for r in registry.run_pipe(spark, str(tmp_path), p, "select query_no, card_id from boolean order by card_id").collect():
+        found[r.query_no].append(r.card_id)
+    assert found == [[1, 2], [1], [1, 3], [1, 2], [1], [1, 2]]
     for bad in ("AND x", "(a", "a)", "NOT"):
         with pytest.raises(ValueError):
-            condition(SPARK, bad)
+            Parser(bad)
 
 
 def test_word_files_hold_whole_lines(spark, tmp_path):
