@@ -17,11 +17,16 @@ MIN_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter, and those whose language stays unclear over their bytes."""
+    """Drops documents without any letter, and those whose language stays unclear over their bytes.
+
+    A score is a mean over n bytes, so two of its standard errors are at most 1 / sqrt(n): a document goes where
+    its score lies below MIN_LANGUAGE_SCORE by more than that. A few bytes are too little to reject a text on.
+    """
     model = langid.train(table(spark, sf_dir, "documents"), where=fold(F.col("doc_id"), 4) != 2)
     lang, score = langid.added(docs.columns)
     found = langid.predict(docs, model)
-    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    error = 1 / F.sqrt(F.octet_length("text"))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) + error >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,14 @@ def test_stages(spark):
     for r in packed:
         totals[r.doc_id] += r.length
     assert set(totals) == set(kept) and all(totals[r.doc_id] == r.doc_tokens for r in packed)
+
+
+def test_language_rejects_only_on_enough_bytes(spark, monkeypatch):
+    from evidentia.llm import langid
+
+    rows = [(1, "Re.", 0.3, "en"), (2, "x" * 400, 0.3, "en"), (3, "x" * 400, 0.36, "en"), (4, "x" * 400, 0.9, "en"), (5, "12", 0.0, "und"), (6, None, 0.0, "und"), (7, "", 0.0, "und"), (8, "é" * 32, 0.25, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s double, l string")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *a: docs)
+    monkeypatch.setattr(langid, "train", lambda *a, **k: None)
+    monkeypatch.setattr(langid, "predict", lambda d, m: d.selectExpr("*", "l as lang_pred", "s as lang_score"))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 3, 4}  # 0.3 + 0.05, 0.25 + 0.125 lie below 0.4
