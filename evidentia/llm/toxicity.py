@@ -8,7 +8,8 @@ fitting: a text's language is guessed from its own frequent words (learned from
 lang), and the language's threshold shifts the logit so that 0.5 is the boundary everywhere. Labels,
 lang, source and ids are never inputs of a score.
 
-Fitting uses a bounded, documented sample of labelled rows (``max_rows``), chosen by a hash of the id;
+Fitting uses a bounded, documented sample of labelled rows (``max_rows``, and MAX_BYTES of text), chosen
+by a hash of the id; sampled texts are learned from whole. A text's words are held only while they are counted and numbered;
 scoring covers every row and every word. Null and empty texts have no words and get the score of an
 empty text. Repeated rows score alike; a row is returned for each input row; extra columns are
 ignored. With no positive or no negative label to learn from, every score is the label's base rate.
@@ -18,21 +19,23 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import fold, hash_sample, unused
+from evidentia.llm.common import fold, hash_sample, stored, unused
 
 BUCKETS = 1 << 20
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 MAX_ROWS = 4000
+MAX_BYTES = 1 << 25  # of the texts that are learned from: these go to the driver
 PREFIXES = (4, 5, 6, 7, 8)  # beginnings of a word that count beside it
 MIN_TEXTS = 2  # training texts that a feature must stand in to get an embedding
 GAP = max(WIDTHS) - 1
@@ -119,53 +122,69 @@ class Classifier:
                 out[first:last, cols] = np.maximum(out[first:last, cols], part)
         return np.maximum(out, 0)
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        words = [WORDS.findall((t or "").lower()) for t in texts]
+    def logits(self, texts: Iterable[str | None]) -> np.ndarray:
         if "vocab" not in self.__dict__:
             self.vocab = _Vocabulary(self.rows, self.emb)
-        out, at = np.empty(len(words)), 0
-        while at < len(words):  # as many texts as surely have room in the vocabulary
-            end, n = at + 1, len(words[at])
-            while end < len(words) and n + len(words[end]) <= CACHED // 4:
-                n += len(words[end])
-                end += 1
-            if n > CACHED:  # one text of more words than fit: a table of its own
-                self.vocab = _Vocabulary(self.rows, self.emb)
-                self.vocab.table = np.zeros((n + 1, self.emb.shape[1]), np.float32)
-            else:
-                self.vocab.make_room(n)
-            out[at:end] = self.pooled([self.ids(w) for w in words[at:end]]) @ self.out + self.bias
-            if n > CACHED:
-                del self.vocab
-                self.vocab = _Vocabulary(self.rows, self.emb)
-            at = end
+        out, n, some = [np.empty(0)], 0, []
+        for t in texts:  # as many texts at once as surely have room in the vocabulary; no others' words are held
+            words = WORDS.findall((t or "").lower())
+            if some and n + len(words) > CACHED // 4:
+                out.append(self._logits(some, n))
+                n, some = 0, []
+            n += len(words)
+            some.append(words)
+        if some:
+            out.append(self._logits(some, n))
+        return np.concatenate(out)
+
+    def _logits(self, words: list[list[str]], n: int) -> np.ndarray:
+        """Of texts with n words together; one text alone may have more than fit and gets a table of its own."""
+        if n > CACHED:
+            self.vocab = _Vocabulary(self.rows, self.emb)
+            self.vocab.table = np.zeros((len(set(words[0])) + 1, self.emb.shape[1]), np.float32)
+        else:
+            self.vocab.make_room(n)
+        out = self.pooled([self.ids(w) for w in words]) @ self.out + self.bias
+        if n > CACHED:
+            del self.vocab
+            self.vocab = _Vocabulary(self.rows, self.emb)
         return out - self.shift[[self.language(w) for w in words]]
 
 
 def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 5, rate: float = 0.15, seed: int = 7) -> Classifier:
     """Adagrad on the logistic loss, gradients through the arg-max windows of each filter."""
     rng = np.random.default_rng(seed)
-    words = [WORDS.findall((t or "").lower()) for t in texts]
     names = sorted({x for x in langs if x is not None})
     own, total = {x: Counter() for x in names}, Counter()
-    for w, lang in zip(words, langs):
+    number: dict[str, int] = {}
+    docs, forms = [], array("i", [-1] * (1 + len(PREFIXES)))  # of a word: its buckets, -1 for a form that it lacks; number 0 is the gap
+    texts_of = np.zeros(BUCKETS, np.int32)
+    for t, lang in zip(texts, langs):  # a text's words are dropped when they are counted and numbered
+        words = WORDS.findall((t or "").lower())
         if lang is not None:
-            own[lang].update(w)
-            total.update(w)
+            own[lang].update(words)
+            total.update(words)
+        for w in dict.fromkeys(words):
+            if w not in number:
+                number[w] = len(number) + 1
+                found = _buckets(w)
+                forms.extend(found + [-1] * (1 + len(PREFIXES) - len(found)))
+        docs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        width = 1 + len(PREFIXES)
+        hashed = np.unique(np.concatenate([forms[i * width : (i + 1) * width] for i in np.unique(docs[-1]).tolist()])) if words else np.empty(0, np.int32)
+        texts_of[hashed[hashed >= 0]] += 1
     lang_words = {}
     for k, x in enumerate(names):
         for w, n in own[x].most_common(100):
             if n > 0.8 * total[w]:
                 lang_words[w] = k
-    seen_in = Counter(w for d in words for w in set(d))
-    bucket = {w: _buckets(w) for w in seen_in}
-    texts_of = Counter(b for d in words for b in {b for w in set(d) for b in bucket[w]})
-    rows = {b: i + 1 for i, b in enumerate(sorted(b for b, n in texts_of.items() if n >= MIN_TEXTS))}
-    number = {w: i + 1 for i, w in enumerate(bucket)}
-    feats = np.zeros((len(number) + 1, 1 + len(PREFIXES)), np.int32)  # a word's embedding rows; row 0 of either is the gap
-    for w, i in number.items():
-        own = [rows[b] for b in bucket[w] if b in rows]
-        feats[i, : len(own)] = own
+    del own, total, number
+    kept = np.flatnonzero(texts_of >= MIN_TEXTS)
+    rows = dict(zip(kept.tolist(), range(1, len(kept) + 1)))
+    row_of = np.zeros(BUCKETS + 1, np.int32)  # its last entry is -1's
+    row_of[kept] = np.arange(1, len(kept) + 1)
+    feats = row_of[np.frombuffer(forms, np.int32).reshape(-1, 1 + len(PREFIXES))]  # a word's embedding rows; row 0 of either is the gap
+    del forms, texts_of, row_of
     emb = np.zeros((len(rows) + 1, DIM), np.float32)
     filters = [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     out = rng.normal(0, 0.5, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -177,7 +196,6 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
         model.out = np.zeros_like(out)
         return model
     emb[1:] = rng.normal(0, 0.05, (len(rows), DIM))
-    docs = [np.array([number[w] for w in d], np.int32) for d in words]
     val = np.arange(len(y)) % 5 == 4
     train = np.flatnonzero(~val)
     g_emb, g_out, g_bias, g_fil = np.full_like(emb, 1e-6), np.full_like(out, 1e-6), 1e-6, [np.full_like(f, 1e-6) for f in filters]
@@ -236,7 +254,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
     model.emb = np.concatenate([np.zeros((1, DIM), np.float32), emb[kept]])
     held = np.flatnonzero(val)
     raw = model.logits([texts[i] for i in held])
-    lang = np.array([model.language(words[i]) for i in held])
+    lang = np.array([model.language(WORDS.findall((texts[i] or "").lower())) for i in held])
     for k in range(len(names) + 1):
         mine = lang == k
         if (y[held][mine] == 1).sum() >= 5 and (y[held][mine] == 0).sum() >= 5:
@@ -273,9 +291,28 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), lang.alias("lang"))
     # of rows that share an id the least text is learned from, so that the model is the same in every run
-    got = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "label")).alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
-    got = got.astype(object).where(got.notna(), None)
-    return fit(list(got["text"]), [int(x) for x in got["label"]], list(got["lang"]))
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "label")).alias("row")).select("doc_id", "row.*")
+    rows = stored(rows, "labelled")
+    sizes = [tuple(r) for r in rows.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0))).collect()]
+    if sum(n for _, _, n in sizes) > MAX_BYTES:
+        rows = rows.where(F.col("doc_id").isin(_within(sizes, MAX_BYTES)))
+    got = sorted(rows.toArrow().to_pylist(), key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in got], [r["label"] for r in got], [r["lang"] for r in got])
+
+
+def _within(sizes: list[tuple], most: int) -> list:
+    """Ids of (id, label, bytes) that have room in ``most`` bytes, a like share for each label; by a hash of the id, one that has no room is passed over. Of each label one at least, the shortest."""
+    labels = {y for _, y, _ in sizes}
+    out = []
+    for y in sorted(labels):
+        own = sorted((zlib.crc32(str(k).encode()), str(k), n, k) for k, z, n in sizes if z == y)
+        room, kept = most // len(labels), []
+        for *_, n, k in own:
+            if n <= room:
+                room -= n
+                kept.append(k)
+        out += kept or [min(own, key=lambda x: x[2])[3]]
+    return out
 
 
 def added(columns: list[str]) -> tuple[str, str]:
@@ -294,7 +331,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", keep: list[str
         own = sent.value
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            s = np.concatenate([own.logits(texts[at : at + 512].to_pylist()) for at in range(0, len(texts), 512)]) if len(texts) else np.empty(0)
+            s = own.logits(t for at in range(0, len(texts), 32) for t in texts[at : at + 32].to_pylist())
             p = 1 / (1 + np.exp(-np.clip(s.astype(np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names)
 

@@ -365,3 +365,29 @@ def test_stages_on_hard_tables(spark):
     assert {rows[0][1], rows[1][1], rows[2][1], rows[6][1]} <= texts
     packed = corpus_pipeline.pack(spark, d, sf)
     assert packed.where("start = 0").count() == len(rows) and corpus_pipeline.pack(spark, d.limit(0), sf).count() == 0
+
+
+def test_toxicity_learns_from_bounded_bytes_in_bounded_memory(spark, monkeypatch):
+    import tracemalloc
+
+    seen = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda t, y, x: seen.append((t, y)) or real(t, y, x))
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 6000)
+    rows = [(i, ("you idiot " if i % 3 == 0 else "fine day ") * (5000 if i in (4, 9) else 10)) for i in range(200)]
+    d = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    (texts, y), known = seen[0], {t for _, t in rows}
+    assert sum(map(len, texts)) <= 6000 and min(Counter(y)[0], Counter(y)[1]) >= 25 and set(texts) <= known  # whole ones
+    found = toxicity.score(d, model).collect()
+    assert len(found) == 200 and all(r.tox_predicted == int(r.doc_id % 3 == 0) for r in found)
+    assert sorted(toxicity._within([("a", 0, 9), ("b", 1, 99), ("c", 1, 98)], 10)) == ["a", "c"]  # none fits: the shortest
+    # words are numbered text by text, not held beside one another
+    monkeypatch.setattr(toxicity, "CACHED", 10_000)
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(2000)) for i in range(1, 121)]
+    tracemalloc.start()
+    real(texts, [i % 2 for i in range(120)], ["en"] * 120, epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14e6, peak
