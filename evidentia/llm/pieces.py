@@ -35,6 +35,7 @@ KEPT = 400_000  # words that a worker remembers,
 KEPT_BYTES = 1 << 25  # and bytes of them
 PAIRS = 1_000_000
 _WORDS = re.compile(rb"\x20*[^\x20\n]+|\x20+|\n")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -95,7 +96,8 @@ class Pieces:
                 self.raw.append(piece.encode())
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.ids):
             raise ValueError("pieces of this model reach across words")
-        self.longest = max(map(len, self.ids))
+        self.lengths = self._lengths()
+        self.reached: dict[str, bool] = {}
         self.floor = min(self.score.values()) - 10.0  # the library's penalty for an unknown character
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[bytes, bytes] = {}
@@ -105,6 +107,14 @@ class Pieces:
         if not any(self.bytes) or self.encode(probes) != [struct.pack(f"<{len(x)}I", *x) for x in sp.encode(probes)]:
             raise ValueError("this model prepares texts in another way")
 
+    def _lengths(self) -> dict[str, tuple[int, ...]]:
+        """Lengths, from the longest on, that a piece may have whose last three characters are the key; any other end has no piece longer than two."""
+        found: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                found.setdefault(p[-3:], {1, 2}).add(len(p))
+        return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+
     def merged(self, text: str) -> list[str]:
         """Symbols after all merges: the best-scoring adjacent pair first, the leftmost of equals."""
         parts = list(text)
@@ -129,7 +139,8 @@ class Pieces:
 
     def words(self, distinct: list[str]) -> Iterator[list[str]]:
         """Pieces of each word; the words must be sorted."""
-        score, longest, follows, unigram = self.score, self.longest, self.follows, self.unigram
+        score, follows, unigram, whole = self.score, self.follows, self.unigram, self.whole
+        lengths, short, pairs, reached = self.lengths.get, (2, 1), self.pairs, self.reached
         last, forward, word = [""], [0.0], ""  # of the first i characters: the last piece, the best score
         for new in distinct:
             shared = 0
@@ -141,15 +152,25 @@ class Pieces:
             word = new
             for i in range(shared + 1, len(word) + 1):
                 best, by = None, ""
-                for j in range(max(0, i - longest), i):
+                for n in lengths(word[i - 3 : i], short) if i > 2 else short:
+                    j = i - n
+                    if j < 0:
+                        continue
                     piece = word[j:i]
                     own = score.get(piece)
                     if own is None:
-                        if j < i - 1:
+                        if n > 1:
                             continue
                         own = self.floor
-                    if not unigram and ((j and not follows(last[j], piece)) or (len(piece) > 1 and not self.whole(piece))):
-                        continue
+                    if not unigram:
+                        if j:
+                            ok = pairs.get((last[j], piece))
+                            if not (follows(last[j], piece) if ok is None else ok):
+                                continue
+                        if n > 1:
+                            ok = reached.get(piece)
+                            if not (whole(piece) if ok is None else ok):
+                                continue
                     total = float(np.float32(forward[j] + own)) if unigram else forward[j] + own  # the library adds in 32 bits
                     if best is None or total > best:
                         best, by = total, piece
@@ -168,17 +189,16 @@ class Pieces:
 
     def whole(self, piece: str) -> bool:
         """Whether merging a piece's characters gives the piece: some pieces can't be reached."""
-        ok = self.pairs.get(("", piece))
+        ok = self.reached.get(piece)
         if ok is None:
-            ok = self.pairs[("", piece)] = self.merged(piece) == [piece]
+            ok = self.reached[piece] = self.merged(piece) == [piece]
         return ok
 
     def _pack(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for p in pieces:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "replace")]
-        return struct.pack(f"<{len(out)}I", *out)
+        out = list(map(self.ids.get, pieces))
+        if None in out:
+            out = [x for p, i in zip(pieces, out) for x in ([i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "replace")])]
+        return _PACK[len(out)](*out) if len(out) < len(_PACK) else struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

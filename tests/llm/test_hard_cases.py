@@ -391,3 +391,26 @@ def test_toxicity_learns_from_bounded_bytes_in_bounded_memory(spark, monkeypatch
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 14e6, peak
+
+
+def test_sentencepiece_tries_only_lengths_that_pieces_have():
+    import public_tokenizers
+    import sentencepiece
+
+    class Counted(dict):
+        tried = 0
+
+        def get(self, key):
+            self.tried += 1
+            return super().get(key)
+
+    own = pieces.Pieces(pieces.MODEL)
+    assert all(len(p) < 3 or len(p) in own.lengths[p[-3:]] for p in own.ids)
+    rng = random.Random(5)
+    syllables = ["th", "ing", "er", "einsch", "ó", "ß", "tion", "qu", "ña", "&", "7", "x", "ꙮ"]
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 6))) for _ in range(40)) for _ in range(50)]
+    own.score = Counted(own.score)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    assert own.encode(texts) == [struct.pack(f"<{len(x)}I", *x) for x in library.encode(texts)]
+    marked = {w for t in texts for w in re.findall(" [^ ]+", " " + t)}
+    assert own.score.tried < 4 * sum(map(len, marked)), own.score.tried / sum(map(len, marked))
