@@ -55,7 +55,11 @@ def place(tokens: np.ndarray, quiet: np.ndarray, limits: tuple[int, int, int], c
     weight = np.array([(common // c) ** 2 if common**2 < 1 << 60 else 1 / c**2 for c in limits])
     out: list[list[tuple[int, int, int]]] = []
     left, free, own = int(there.sum()), cap.copy(), []
+    item = np.arange(len(tokens))  # of each place of the arrays; items that are placed leave them when they are half of all
     while left:
+        if 2 * left < len(item):
+            need, quiet, begun, item = need[:, there], quiet[there], begun[there], item[there]
+            there = np.ones(left, bool)
         want = free * weight
         product = want[0] * need[0] + want[1] * need[1] + want[2] * need[2]
         product[~there] = -1
@@ -63,7 +67,7 @@ def place(tokens: np.ndarray, quiet: np.ndarray, limits: tuple[int, int, int], c
         inside = np.where(fits, product, -1)
         i = int(inside.argmax())
         if inside[i] >= 0:
-            own.append((i, int(begun[i]), int(need[0, i])))
+            own.append((int(item[i]), int(begun[i]), int(need[0, i])))
             free -= need[:, i]
             there[i] = False
             left -= 1
@@ -72,7 +76,7 @@ def place(tokens: np.ndarray, quiet: np.ndarray, limits: tuple[int, int, int], c
             i = int(product.argmax())
             room = int(min(free[0], quiet[i] + free[2]))
             if room >= cut_from:
-                own.append((i, int(begun[i]), room))
+                own.append((int(item[i]), int(begun[i]), room))
                 begun[i] += room
                 quiet[i] = max(0, quiet[i] - room)
                 need[0, i] -= room

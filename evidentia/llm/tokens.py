@@ -31,6 +31,21 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in plain else next(others)) for b in range(256)}
 
 
+class _Known(dict):
+    """Ids of what was looked up; a missing entry comes from the generation before or from the tokenizer."""
+
+    def __init__(self, encoder: Encoder, old: dict[bytes, bytes]) -> None:
+        self.encoder, self.old, self.held = encoder, old, 0
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.encoder.fresh(part)
+        self[part] = ids
+        self.held += len(part)
+        return ids
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
@@ -41,15 +56,14 @@ class Encoder:
 
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         # white space is dropped by word-end tokenizers, and belongs to what follows it in byte-level ones
         self.chunks = (_WORD_CHUNKS if self._drops_space() else _BYTE_CHUNKS).findall
         self.alphabet = _byte_alphabet()
         probes = [b"word", b" Word", "é".encode(), " Größe".encode(), b"antidisestablishment", b" ing"]
         self.lower = self._drops_space()
         self.direct = all(self._by_model(p) == self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in probes if not (self.lower and p[:1] == b" "))
-        self.known: dict[bytes, bytes] = {}  # and, one generation back:
-        self.old: dict[bytes, bytes] = {}
-        self.held = 0
+        self.known = _Known(self, {})
 
     def _drops_space(self) -> bool:
         ids = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a  b\n", "a\tb")]
@@ -60,57 +74,37 @@ class Encoder:
         if self.lower:
             chunk = chunk.decode().lower().encode()
         word = chunk.decode().replace(" ", self.alphabet[32]) if chunk.isascii() else chunk.decode("latin-1").translate(self.alphabet)
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        known, old = self.known, self.old
-        unseen = []
-        for c in new:
-            ids = old.get(c)
-            if ids is None:
-                unseen.append(c)
-            else:
-                known[c] = ids
+        return [t.id for t in self.tokenize(word)]
+
+    def _ids(self, chunk: bytes) -> list[int]:
         if self.direct:
-            rest, tokenize, mark, lower = [], self.tokenizer.model.tokenize, self.alphabet[32], self.lower
-            for c in unseen:
-                if c[:1] == b" " and c[1:].isalpha() and not lower:  # the most frequent kind, all ASCII
-                    ids = [t.id for t in tokenize(mark + c[1:].decode())]
-                elif _ONE.fullmatch(c):
-                    ids = self._by_model(c)
-                else:
-                    rest.append(c)
-                    continue
-                known[c] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
-            unseen = rest
-        for at in range(0, len(unseen), 20_000):
-            own = unseen[at : at + 20_000]
-            for c, e in zip(own, self.tokenizer.encode_batch_fast([c.decode() for c in own], add_special_tokens=False)):
-                ids = e.ids
-                known[c] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def _make_room(self) -> None:
-        if len(self.known) > KEPT or self.held > KEPT_BYTES:
-            self.known, self.old, self.held = {}, self.known, 0
+            if chunk[:1] == b" " and chunk[1:].isalpha() and not self.lower:  # the most frequent kinds, all ASCII
+                return [t.id for t in self.tokenize(self.alphabet[32] + chunk[1:].decode())]
+            if self.lower and chunk.isalpha():
+                return [t.id for t in self.tokenize(chunk.decode().lower())]
+            if _ONE.fullmatch(chunk):
+                return self._by_model(chunk)
+        return self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+
+    def fresh(self, part: bytes) -> bytes:
+        """Ids of a chunk; where white space is dropped, of a word, which is cut into chunks."""
+        if self.lower:
+            chunks = self.chunks(part)
+            if len(chunks) != 1 or chunks[0] != part:
+                return b"".join(map(self.known.__getitem__, chunks))
+        ids = self._ids(part)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; where white space is dropped, whole words are remembered, and cut into chunks only when they are new."""
-        self._make_room()
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        parts = [r.split() for r in raw] if self.lower else [self.chunks(r) for r in raw]
-        known = self.known
-        new = [c for c in set().union(*parts) if c not in known]
-        self.held += sum(map(len, new))
+        if len(self.known) > KEPT or self.known.held > KEPT_BYTES:
+            self.known.old = {}
+            self.known = _Known(self, self.known)
+        look = self.known.__getitem__
+        raw = ((t or "").encode("utf-8", "replace") for t in texts)
         if self.lower:
-            cut = {w: self.chunks(w) for w in new if w not in self.old}
-            known.update((w, self.old[w]) for w in new if w not in cut)
-            chunks = {c for p in cut.values() for c in p if c not in known}
-            self._learn(list(chunks))
-            known.update((w, b"".join([known[c] for c in p])) for w, p in cut.items() if len(p) > 1)
-        else:
-            self._learn(new)
-        look = known.__getitem__
-        return [b"".join(map(look, p)) for p in parts]
+            return [b"".join(map(look, r.split())) for r in raw]
+        return [b"".join(map(look, self.chunks(r))) for r in raw]
 
 
 def encoder(name: str) -> Encoder:

@@ -414,3 +414,43 @@ def test_sentencepiece_tries_only_lengths_that_pieces_have():
     assert own.encode(texts) == [struct.pack(f"<{len(x)}I", *x) for x in library.encode(texts)]
     marked = {w for t in texts for w in re.findall(" [^ ]+", " " + t)}
     assert own.score.tried < 4 * sum(map(len, marked)), own.score.tried / sum(map(len, marked))
+
+
+def test_tokenizer_looks_each_chunk_up_once(monkeypatch):
+    from evidentia.llm import tokens
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices(["th", "ing", "É", "ß", "er", "Qu", "7", ","], k=rng.randint(1, 6))) for _ in range(400)]
+    texts = [None, "", "  a  b\n\n c \n\t d  x's don't 12  ", *("".join(w + rng.choice([" ", " ", "\n", "  "]) for w in rng.choices(words, k=60)) for _ in range(300))]
+    monkeypatch.setattr(tokens, "KEPT", 150)  # so that older generations are asked, and words forgotten
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own = tokens.Encoder(name)
+        asked = []
+        real = own.fresh
+        monkeypatch.setattr(own, "fresh", lambda c: asked.append(c) or real(c), raising=False)
+        ids = [x for at in range(0, len(texts), 20) for x in own.encode(texts[at : at + 20])]
+        assert ids == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert asked and len(own.known) < 2000
+
+
+def test_placing_forgets_what_is_placed(monkeypatch):
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(1, 1024, 600)
+    quiet = np.minimum(tokens, rng.integers(0, 40, 600))
+    sizes = []
+    real = np.where
+    monkeypatch.setattr(packing.np, "where", lambda c, *a: sizes.append(len(c)) or real(c, *a))
+    found = packing.place(tokens, quiet, (1024, 64, 1020))
+    monkeypatch.undo()
+    held = defaultdict(list)
+    for own in found:
+        assert sum(n for _, _, n in own) <= 1024 and len(own) <= 64
+        for i, at, n in own:
+            held[i].append((at, n))
+    for i, n in enumerate(tokens.tolist()):
+        at = 0
+        for a, k in sorted(held[i]):
+            assert a == at
+            at += k
+        assert at == n
+    assert sum(sizes) < 0.8 * 600 * len(sizes)  # the pool's arrays grow shorter
