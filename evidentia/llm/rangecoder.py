@@ -1,24 +1,29 @@
 """Token-ID files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 A file's records hold whole documents; a record's ids are cut into blocks of BLOCK ids. Within a block
-nothing is known at first. Each id begins with one decision: it is the id that last followed the two
+nothing is known at first. An id goes by its rank of first appearance in the block; the new ids
+themselves, places in the record's alphabet, stand in that order ahead of the coded words, in as many bits
+as the alphabet takes. Each id begins with one decision: it is the id that last followed the two
 ids before it (order 2), the one that last followed the id before it (order 1), one that the block has
 not had, or one that it has had. The decision is coded under a mixture of three adaptive distributions,
 one for the block (order 0) and one for each prediction, chosen by how well that prediction did of
 late; the mixture's weights follow whichever predicts best. An id that the block has had goes on by the
-size class of its rank of first appearance (order 0: two adaptive decisions) and the rank's lower bits, a
-new one by its place in the record's alphabet. All arithmetic is on whole numbers, so any machine
+size class of its rank (order 0, adaptive) and the rank's lower bits. Distributions and weights learn
+from all ids since the last time, after 8, 16, 32 and 64 ids and then every LEARN; predictions with every id.
+All arithmetic is on whole numbers, quotients being taken of numbers under 2 ** 53, so any machine
 decodes what another wrote.
 
 Blocks are lanes: numpy steps through all blocks of a group at once, so the interpreter's cost is
-shared by up to LANES blocks. A distribution of four outcomes is one whole number with three cumulative
-frequencies in fields of 21 bits, so that mixing and learning are done on all of them at once. The coder
-keeps 62 bits of low; carries are added to the words before them at the end. Every block carries its
-number of ids, its coded size and the crc32 of its ids, and can be decoded alone.
+shared by up to LANES blocks. A distribution of four outcomes is one whole number of cumulative
+frequencies in fields of 12 bits. The coder keeps 48 bits of low; carries are added to the words before
+them at the end. Every block carries its number of ids, its coded size and the crc32 of its ids, and can
+be decoded alone.
 
 Record layout (little-endian): magic ``EVTK``, version u8, documents u32, documents without an id u32
 (they come first), blocks u32, alphabet u32; the alphabet's ids (u32 each, ascending); per document id
-i64 and count u32; per block ids u32, words u32, crc32 u32; the blocks' 16-bit words.
+i64 and count u32; per block ids u32, words u32, crc32 u32; the blocks' 16-bit words. A block's words: the
+number of its new ids, those (filled up to a multiple of 16 of them; most significant bit first), the
+coder's words.
 
 Null and empty texts have the end id alone. Documents without an id come first; documents of one id go
 by a hash of their texts, then by the texts, and equal rows are written as often as they stand there.
@@ -29,146 +34,217 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.tokens import BATCH, encoder
+from evidentia.llm.tokens import encoder
 
 BLOCK = 2048
 LANES = 4096
 RECORD = 1 << 19  # ids after which a record is closed, at the end of a document
 TOKENIZER = "word_bpe_49k.json"
-MAGIC, VERSION = b"EVTK", 3
+MAGIC, VERSION = b"EVTK", 4
 
-TABLE = 1 << 10  # contexts of either order that a block remembers
+TABLE = 1 << 9  # contexts of either order that a block remembers
 HIT2, HIT1, NEW, SEEN = range(4)
-CLASS = np.array([x.bit_length() for x in range(BLOCK)], np.int64)  # of a rank; its bits under the highest follow
-
-# A distribution of four outcomes: cumulative frequencies after the first, second and third, out of ONE, in fields of FIELD bits.
-FIELD, ONE = 21, 4092
-RATE = 5
-START = sum((k * ONE // 4) << (FIELD * (k - 1)) for k in (1, 2, 3))
-LOW = sum((ONE >> RATE) << (FIELD * k) for k in range(3))
-RAISE = np.array([sum((ONE >> RATE) << (FIELD * (k - 1)) for k in (1, 2, 3) if outcome < k) for outcome in range(4)], np.int64)
-BITS = 12  # of a decision: every outcome keeps a frequency of one, and ONE + 4 is 1 << BITS
-# of the cumulative frequency number k: where it stands, what is kept, what is added
-SHIFT, KEEP, ADD = np.array([0, 0, FIELD, 2 * FIELD, 0]), np.array([0, 4095, 4095, 4095, 0]), np.array([0, 1, 2, 3, 1 << BITS])
-ORDERS, PER = 3, 13  # distributions mixed; and of a lane: one of its own, six of either prediction
-WEIGHT, SHARE, TURN = 512, 480, 4  # sum of the weights, what is shared by merit, steps between two changes
+SIZES = 12  # size classes of ranks; one more stands for what is no rank
+CLASS = np.array([x.bit_length() for x in range(BLOCK)], np.uint8)  # of a rank; its bits under the highest follow
+REST = np.array([max(x - 1, 0) for x in range(SIZES)] + [0])
+SPAN = 1 << REST
+STATES = 18  # of both predictions: none, without credit, with credit; and whether they agree
+LEARN = 128
+LIMIT = 400  # a distribution's counts are halved beyond
+FIELD, BITS, SIZE_BITS = 12, 11, 7  # of a cumulative frequency; of a decision's and of a size class's range
+WEIGHT, SHARE = 512, 480  # sum of the weights, what is shared by merit
 
 
 class _Model:
     """State of all lanes; the first ``n`` of them are at work."""
 
-    def __init__(self, lanes: int) -> None:
-        self.pred = np.zeros(2 * lanes * TABLE, np.int32)  # (id + 1) << 1 | whether it was right the last time; 0: none
-        self.dist = np.full(lanes * PER, START, np.int64)
-        self.high, self.low = np.full(lanes, START, np.int64), np.full(lanes * 4, START, np.int64)
-        self.merit = np.full((2, lanes), SHARE // 3, np.int64)
-        self.weight = np.empty((3, lanes), np.int64)
-        self.lane = np.arange(lanes)
-        self.slot = np.stack([self.lane * (2 * TABLE), self.lane * (2 * TABLE) + TABLE])
-        self.base = np.stack([self.lane * PER, self.lane * PER + 1, self.lane * PER + 7])
-        self.hash1, self.hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.cum = np.zeros((5, lanes), np.int64)
-        self.cum[4] = 1 << BITS
-        self.steps = 0
-        self._weigh(lanes)
-
-    def _weigh(self, n: int) -> None:
-        w = self.weight[:, :n]
-        np.add(self.merit[:, :n], (WEIGHT - SHARE) // 4, out=w[1:])
-        np.subtract(WEIGHT, w[1] + w[2], out=w[0])
+    def __init__(self, lanes: int, find: bool = False) -> None:
+        lane = np.arange(lanes)
+        self.pred = np.zeros(2 * lanes * TABLE, np.uint16)  # (rank + 1) << 1 | whether it was right the last time; 0: none
+        self.base = np.stack([lane * TABLE, (lane + lanes) * TABLE])
+        self.lane, self.lanes = lane, lanes
+        self.rank1, self.rank2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.counts = [np.ones((*of, 4, lanes), np.int32) for of in ((1, 1, 1), (2, 3, 1), (2, 1, 3))]
+        self.dist = [np.full(x.shape, 1024, np.int32) for x in self.counts]
+        self.merit = np.full((3, lanes), SHARE // 3, np.int64)
+        self.size_counts = np.ones((SIZES, lanes), np.int32)
+        self.mixed = np.empty((2, 3, 3, lanes), np.int64)
+        self.sizes = np.full((SIZES + 1, lanes), 1 << SIZE_BITS + 8, np.int64)  # of each class: its cumulative frequency, its frequency << 8
+        self.class_of = np.full((lanes + 1) << SIZE_BITS, SIZES, np.uint8) if find else None
+        self.steps, self.due, self.log, self.size_log = 0, 8, [], []
+        self._mix(lanes)
 
     def look(self, n: int) -> np.ndarray:
-        """Cumulative frequencies (5, lanes) of the next decision."""
+        """Cumulative frequencies of the next decision."""
+        one = self.rank1[:n]
         at = np.empty((2, n), np.int64)
-        np.bitwise_and(self.hash1[:n] >> 7, TABLE - 1, out=at[0])
-        np.bitwise_and((self.hash2[:n] * 5 + self.hash1[:n]) >> 9, TABLE - 1, out=at[1])
-        at += self.slot[:, :n]
+        np.bitwise_and(one, TABLE - 1, out=at[0])
+        np.multiply(one, 421, out=at[1])
+        at[1] += self.rank2[:n]
+        at[1] &= TABLE - 1
+        at += self.base[:, :n]
         self.at = at
         self.p = p = self.pred.take(at)
         self.id = p >> 1  # 0 without a prediction
         self.known = p & 1
         know = np.minimum(p, 1)
         know += self.known
-        know <<= 1
-        know += self.id[0] == self.id[1]
-        self.rows = rows = self.base[:, :n].copy()
-        rows[1:] += know
-        self.got = got = self.dist.take(rows)
-        part = got * self.weight[:, :n]
-        mixed = part[0]
-        mixed += part[1]
-        mixed += part[2]
-        _spread(mixed >> 9, self.cum[:, :n])
-        return self.cum
-
-    def learn(self, outcome: np.ndarray, ids: np.ndarray) -> None:
-        n, got = len(ids), self.got
-        self.steps += 1
-        if not self.steps % TURN:
-            parts = ((got >> SHIFT[outcome + 1]) & KEEP[outcome + 1]) + ADD[outcome + 1] - ((got >> SHIFT[outcome]) & KEEP[outcome]) - ADD[outcome]
-            merit = self.merit[:, :n]
-            merit += (parts[1:] * SHARE // parts.sum(axis=0) - merit) >> 3
-            self._weigh(n)
-        self.dist[self.rows] = got + RAISE[outcome] - ((got >> RATE) & LOW)
+        joint = know[0] * np.uint16(3)
+        joint += know[1]
+        joint += (self.id[0] == self.id[1]) * np.uint16(9)
+        self.where = joint * np.int64(self.lanes)
+        self.where += self.lane[:n]
+        return self.mixed.take(self.where)
+
+    def learn(self, outcome: np.ndarray, ranks: np.ndarray, size: np.ndarray) -> None:
+        """What came: outcomes, ranks, and the places of size classes in ``sizes``."""
         # a prediction that was right, or that takes the place of one without credit, or that loses its credit
-        p, coded = self.p, (ids.astype(np.int32) + np.int32(1)) << 1
-        new = np.where(self.known > 0, p - 1, coded)
-        np.copyto(new, coded | 1, where=self.id == coded >> 1)
+        n = len(ranks)
+        coded = ranks.astype(np.uint16)
+        coded += np.uint16(1)
+        right = self.id == coded
+        coded <<= 1
+        new = self.p
+        new -= np.uint16(1)
+        new -= coded
+        new *= self.known
+        new += coded
+        new += right
         self.pred[self.at] = new
-        self.hash2[:n] = self.hash1[:n]
-        np.multiply(ids, 2654435, out=self.hash1[:n])
-
-
-def _spread(packed: np.ndarray, out: np.ndarray) -> None:
-    """Rows 1 to 3 of cumulative frequencies."""
-    np.bitwise_and(packed, 4095, out=out[1])
-    np.bitwise_and(packed >> FIELD, 4095, out=out[2])
-    np.bitwise_and(packed >> 2 * FIELD, 4095, out=out[3])
-    out[1:4] += ADD[1:4, None]
-
-
-def _ranks(ids: np.ndarray) -> np.ndarray:
-    """For each id its rank of first appearance; -1 where it is new."""
-    small = ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids  # sorted by digits
-    order = small.argsort(kind="stable")
-    in_order = ids[order]
-    fresh = np.empty(len(ids), bool)
-    fresh[:1] = True
-    np.not_equal(in_order[1:], in_order[:-1], out=fresh[1:])
-    first = order[fresh]
-    rank = np.empty(len(first), np.int16)
-    rank[first.astype(np.uint16).argsort(kind="stable")] = np.arange(len(first), dtype=np.int16)
-    out = np.empty(len(ids), np.int16)
-    out[order] = rank[fresh.cumsum() - 1]
-    out[first] = -1
-    return out
+        self.rank2[:n] = self.rank1[:n]
+        self.rank1[:n] = ranks
+        outcome *= STATES * self.lanes
+        outcome += self.where
+        self.log.append(outcome)
+        self.size_log.append(size)
+        self.steps += 1
+        if self.steps == self.due:
+            self._count(n)
+            self._mix(n)
+            self.log, self.size_log = [], []
+            self.due += min(self.due, LEARN)
+
+    def _count(self, n: int) -> None:
+        lanes = self.lanes
+        found = np.bincount(np.concatenate(self.log), minlength=4 * STATES * lanes).astype(np.int32).reshape(4, 2, 3, 3, lanes)[..., :n]
+        one, two = found.sum(axis=3, keepdims=True, dtype=np.int32), found.sum(axis=2, keepdims=True, dtype=np.int32)
+        did = [x.transpose(1, 2, 3, 0, 4) for x in (one.sum(axis=(1, 2), keepdims=True, dtype=np.int32), one, two)]
+        parts = np.stack([(x * d[..., :n]).sum(axis=(0, 1, 2, 3)) for x, d in zip(did, self.dist)]).astype(np.int64) + 1
+        parts *= parts
+        self.merit[:, :n] += (_quotient(parts * SHARE, parts.sum(axis=0)) - self.merit[:, :n]) >> 1
+        for c, x in zip(self.counts, did):
+            own = c[..., :n]
+            own += x
+            own >>= own.sum(axis=3, keepdims=True) > LIMIT
+        self.size_counts[:, :n] += np.bincount(np.concatenate(self.size_log), minlength=(SIZES + 1) * lanes).reshape(SIZES + 1, lanes)[:SIZES, :n].astype(np.int32)
+
+    def _mix(self, n: int) -> None:
+        weight = (self.merit[:, :n] + (WEIGHT - SHARE) // 4).astype(np.int32)
+        weight[0] = WEIGHT - weight[1] - weight[2]
+        parts = []
+        for c, d, w in zip(self.counts, self.dist, weight):
+            own = c[..., :n]
+            d[..., :n] = np.floor((own * 4096.0) / own.sum(axis=3, keepdims=True))
+            parts.append(np.cumsum(d[:, :, :, :3, :n] * w, axis=3, dtype=np.int32))
+        packed = self.mixed[..., :n]
+        packed[:] = 3 | 1 << BITS + FIELD
+        for k in (2, 1, 0):
+            cum = parts[1][:, :, :, k] + parts[0][:, :, :, k] + parts[2][:, :, :, k]
+            cum >>= 10
+            cum *= (1 << BITS) - 4
+            cum >>= BITS
+            packed += cum
+            packed <<= FIELD
+            if k:
+                packed += k
+        count = self.size_counts[:, :n]
+        f = 1 + _quotient(count * float((1 << SIZE_BITS) - SIZES), count.sum(axis=0))
+        f[f.argmax(axis=0), self.lane[:n]] += (1 << SIZE_BITS) - f.sum(axis=0)
+        self.sizes[:SIZES, :n] = f.cumsum(axis=0) - f + (f << 8)
+        if self.class_of is not None:
+            self.class_of[: n << SIZE_BITS] = np.repeat(np.tile(np.arange(SIZES, dtype=np.uint8), n), f.T.reshape(-1))
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of whole numbers from 0 under 2 ** 53."""
+    return np.floor(a / b).astype(np.int64)
+
+
+def _ranks(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id its rank of first appearance, and whether it is new; place has room for every id."""
+    at = np.arange(len(ids))
+    place[ids[::-1]] = at[::-1]  # the first place is written last
+    first = place[ids]
+    fresh = first == at
+    return (fresh.cumsum() - 1)[first], fresh
+
+
+# An id takes BITS for its decision and at most SIZE_BITS + 10 for a rank: from TOP bits of range at least, some remain.
+TOP, WORD = 32, 16
+_LEAST, _FULL = 1 << TOP, (1 << TOP + WORD) - 1
+PACKED = 256  # blocks whose new ids are packed together
 
 
-# An id takes BITS for its decision and at most 2 * BITS + 10 for a rank or 32 for a new id: never more than TOP bits of range.
-TOP, WORD = 46, 16
-_FULL = (1 << TOP + WORD) - 1
+def _lengths(sizes: np.ndarray) -> list[int]:
+    """Lanes at work at each step; sizes descend."""
+    return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")).tolist()
 
 
-def _settle(rng: np.ndarray, put) -> None:
-    """Move words out of the lanes whose range is short: each lane by itself, so that a block is coded alike in any company."""
-    i = np.flatnonzero(rng < 1 << TOP)
-    while len(i):
-        put(i)
-        rng[i] <<= WORD
-        i = i[rng[i] < 1 << TOP]
+def _padded(n: int) -> int:
+    return -(-n // 16) * 16
 
 
-def _lengths(sizes: np.ndarray) -> list[int]:
-    """Lanes at work at each step; sizes descend."""
-    return (len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")).tolist()
+def _pack(new: list[np.ndarray], bits: int) -> list[bytes]:
+    """Heads of blocks: the number of their new ids and those, 16 in as many words as an id has bits."""
+    out = []
+    for k in range(0, len(new), PACKED):
+        part = new[k : k + PACKED]
+        ends = np.cumsum([_padded(len(x)) for x in part]).tolist()
+        flat = np.zeros(ends[-1], np.int64)
+        for x, end in zip(part, ends):
+            start = end - _padded(len(x))
+            flat[start : start + len(x)] = x
+        flat = np.ascontiguousarray(flat.reshape(-1, 16).T)
+        words = np.zeros((bits + 2, flat.shape[1]), np.int64)
+        for j in range(16):
+            at, over = divmod(j * bits, 16)
+            x = flat[j] << 48 - over - bits
+            words[at] |= x >> 32
+            words[at + 1] |= x >> 16 & 65535
+            words[at + 2] |= x & 65535
+        raw = words[:bits].T.astype("<u2").tobytes()
+        out += [struct.pack("<H", len(x)) + raw[(end - _padded(len(x))) * bits // 8 : end * bits // 8] for x, end in zip(part, ends)]
+    return out
+
+
+def _unpack(coded: list[bytes], bits: int) -> list[tuple[np.ndarray, bytes]]:
+    """New ids and the coder's words of each block."""
+    out = []
+    for k in range(0, len(coded), PACKED):
+        part = coded[k : k + PACKED]
+        n = [min(struct.unpack_from("<H", x)[0], BLOCK) if len(x) > 1 else 0 for x in part]
+        heads = [2 + _padded(m) * bits // 8 for m in n]
+        raw = np.frombuffer(b"".join(x[2:end].ljust(end - 2, b"\0") for x, end in zip(part, heads)), "<u2").reshape(-1, bits).T
+        words = np.zeros((bits + 2, raw.shape[1]), np.int64)
+        words[:bits] = raw
+        flat = np.empty((raw.shape[1], 16), np.int64)
+        for j in range(16):
+            at, over = divmod(j * bits, 16)
+            flat[:, j] = (words[at] << 32 | words[at + 1] << 16 | words[at + 2]) >> 48 - over - bits & (1 << bits) - 1
+        flat, at = flat.reshape(-1), 0
+        for x, m, end in zip(part, n, heads):
+            out.append((flat[at : at + m], x[end:]))
+            at += _padded(m)
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
@@ -177,74 +253,94 @@ def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     sizes = np.array([len(blocks[i]) for i in order])
     if not len(sizes) or not sizes[0]:
         return [b""] * len(blocks)
-    lanes, bits = len(order), max(1, (alphabet - 1).bit_length())
-    ids_of = np.zeros((int(sizes[0]), lanes), np.int32)
-    rank_of = np.zeros((int(sizes[0]), lanes), np.int16)
+    lanes, steps, bits = len(order), int(sizes[0]), max(1, (alphabet - 1).bit_length())
+    rank_of, kind_of = np.zeros((lanes, steps), np.int16), np.zeros((lanes, steps), np.uint8)
+    new, place = [], np.empty(min(alphabet, 1 << 22), np.int64)
     for k, i in enumerate(order):
-        ids_of[: sizes[k], k] = blocks[i]
-        rank_of[: sizes[k], k] = _ranks(blocks[i])
+        own = blocks[i] if alphabet <= len(place) else np.unique(blocks[i], return_inverse=True)[1]
+        rank, fresh = _ranks(own, place)
+        rank_of[k, : sizes[k]], kind_of[k, : sizes[k]] = rank, SEEN - fresh
+        new.append(blocks[i][fresh])
+    heads = _pack(new, bits)
+    rank_of, kind_of = np.ascontiguousarray(rank_of.T), np.ascontiguousarray(kind_of.T)
     model = _Model(lanes)
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
-    words = np.zeros((3 * int(sizes[0]) + 8, lanes), np.int32)  # lanes move on much alike, so their words stand side by side
-    flat, at_word = words.reshape(-1), model.lane.copy()
-
-    def put(i: np.ndarray) -> None:
-        at, lo = at_word[i], low[i]
-        flat[at] = lo >> TOP
-        at_word[i] = at + lanes
-        low[i] = (lo & (1 << TOP) - 1) << WORD
-
-    def decide(dist: np.ndarray, at: np.ndarray, outcome: np.ndarray, lo: np.ndarray, r: np.ndarray) -> None:
-        """Code one decision each under a distribution of its own, which learns."""
-        got = dist[at]
-        a = ((got >> SHIFT[outcome]) & KEEP[outcome]) + ADD[outcome]
-        b = ((got >> SHIFT[outcome + 1]) & KEEP[outcome + 1]) + ADD[outcome + 1]
-        r >>= BITS
-        lo += a * r
-        r *= b - a
-        dist[at] = got + RAISE[outcome] - ((got >> RATE) & LOW)
+    words, put = [], []  # a row for each step, and whether a lane puts out its word there
+
+    def settle(n: int, short: np.ndarray) -> None:
+        """Move words out of the lanes whose range is short: each lane by itself, so that a block is coded alike in any company."""
+        lo, r = low[:n], rng[:n]
+        word, mask = np.zeros(lanes, np.int32), np.zeros(lanes, bool)
+        out = lo >> TOP
+        word[:n], mask[:n] = out, short
+        words.append(word)
+        put.append(mask)
+        out *= short
+        out <<= TOP
+        lo -= out
+        move = short * np.int64(WORD)
+        lo <<= move
+        r <<= move
 
     for t, n in enumerate(_lengths(sizes)):
-        ids, rank = ids_of[t, :n].astype(np.int64), rank_of[t, :n].astype(np.int64)
+        rank = rank_of[t, :n].astype(np.int64)
         cum = model.look(n)
-        hit = model.id == ids + 1
-        outcome = np.where(hit[1], HIT2, np.where(hit[0], HIT1, np.where(rank < 0, NEW, SEEN)))
-        at = outcome * lanes
-        at += model.lane[:n]
-        a = cum.take(at)
-        at += lanes
+        hit = model.id == (rank + 1).astype(np.uint16)
+        kind = kind_of[t, :n]
+        kind *= ~hit[0]
+        kind += hit[0]
+        kind *= ~hit[1]  # HIT2 is 0, HIT1 is 1
+        outcome = kind.astype(np.int64)
+        size = CLASS.take(rank)
+        size -= np.uint8(SIZES)
+        size *= kind == SEEN
+        size += np.uint8(SIZES)
+        size = size.astype(np.int64)
+        cum >>= outcome * FIELD
+        a = cum & (1 << FIELD) - 1
+        cum >>= FIELD
+        cum &= (1 << FIELD) - 1
+        cum -= a
         lo, r = low[:n], rng[:n]
         r >>= BITS
-        lo += a * r
-        r *= cum.take(at) - a
-        i = np.flatnonzero(outcome == SEEN)
-        if len(i):
-            lo_i, r_i, own = lo[i], r[i], rank[i]
-            size = CLASS[own]
-            decide(model.high, i, size >> 2, lo_i, r_i)
-            decide(model.low, i * 4 + (size >> 2), size & 3, lo_i, r_i)
-            rest = np.maximum(size - 1, 0)
-            r_i >>= rest
-            lo_i += (own & ((1 << rest) - 1)) * r_i
-            lo[i], r[i] = lo_i, r_i
-        i = np.flatnonzero(outcome == NEW)
-        if len(i):
-            r_i = r[i] >> bits
-            lo[i] += ids[i] * r_i
-            r[i] = r_i
-        _settle(r, put)
-        model.learn(outcome, ids)
-    for _ in range(4):
-        put(model.lane)
-    carry = np.zeros(lanes, np.int32)
-    used = at_word // lanes
-    for row in words[int(used.max()) - 1 :: -1]:  # carries, from the last word to the first
-        row += carry
-        carry = row >> WORD
-    plain = np.ascontiguousarray(words[: int(used.max())].T).astype("<u2")
-    out = [b""] * len(blocks)
-    for k, i in enumerate(order):
-        out[i] = plain[k, : used[k]].tobytes()
+        a *= r
+        lo += a
+        r *= cum
+        rest = REST.take(size)
+        size *= lanes
+        size += model.lane[:n]
+        own = model.sizes.take(size)
+        r >>= SIZE_BITS
+        lo += (own & 255) * r
+        own >>= 8
+        r *= own
+        r >>= rest
+        rank_low = rank & (1 << rest) - 1
+        rank_low *= r
+        lo += rank_low
+        short = r < _LEAST
+        while short.any():
+            settle(n, short)
+            short = r < _LEAST
+        model.learn(outcome, rank, size)
+    for _ in range(3):
+        settle(lanes, np.ones(lanes, bool))
+    carry, rows = np.zeros(lanes, np.int32), np.empty((len(words), lanes), "<u2")
+    for k in range(len(words) - 1, -1, -1):  # carries, from the last word to the first
+        word = words[k]
+        word += carry
+        rows[k] = word
+        word >>= WORD
+        word -= carry
+        word *= put[k]
+        carry += word
+    put = np.ascontiguousarray(np.array(put).T)
+    ends = np.cumsum(put.sum(axis=1)).tolist()
+    plain = np.ascontiguousarray(rows.T)[put].tobytes()
+    out, start = [b""] * len(blocks), 0
+    for i, head, end in zip(order, heads, ends):
+        out[i] = head + plain[2 * start : 2 * end]
+        start = end
     return out
 
 
@@ -254,88 +350,99 @@ def decode_blocks(coded: list[bytes], sizes: list[int], alphabet: int | list[int
     size_of = np.array([sizes[i] for i in order])
     if not len(size_of) or not size_of[0]:
         return [np.empty(0, np.int32)] * len(coded)
-    lanes, most = len(order), np.broadcast_to(np.array(alphabet), len(coded))[order] - 1
-    bits = np.array([max(1, int(x).bit_length()) for x in most])
-    n_words = np.array([len(coded[i]) // 2 for i in order])
-    width = max(4, int(n_words.max())) + 2
-    words = np.zeros((lanes, width), np.int64)
-    for k, i in enumerate(order):
-        words[k, : n_words[k]] = np.frombuffer(coded[i], "<u2")
-    # the first 62 bits are three words and 14 bits of the fourth; what follows is read in words from there on
-    cut = 3 * WORD + WORD - (TOP + WORD)
-    code = (words[:, 0] << TOP) + (words[:, 1] << TOP - WORD) + (words[:, 2] << TOP - 2 * WORD) + (words[:, 3] >> cut)
-    flat = np.ascontiguousarray(((words[:, 3:-1] << WORD - cut) & (1 << WORD) - 1 | words[:, 4:] >> cut).astype(np.uint16).T).reshape(-1)
-    model = _Model(lanes)
-    rng, at = np.full(lanes, _FULL, np.int64), model.lane.copy()
-    last = len(flat) - lanes + model.lane
-    ids_of = np.zeros((int(size_of[0]), lanes), np.int32)
-    by_rank, first = np.zeros(lanes * BLOCK, np.int32), model.lane * BLOCK
+    lanes, most = len(order), (np.broadcast_to(np.array(alphabet), len(coded))[order] - 1).tolist()
+    parts: list = [None] * lanes
+    width_of = [max(1, x.bit_length()) for x in most]
+    for bits in sorted(set(width_of)):
+        own = [k for k in range(lanes) if width_of[k] == bits]
+        for k, x in zip(own, _unpack([coded[order[k]] for k in own], bits)):
+            parts[k] = x
+    width = max(3, max(len(x) // 2 for _, x in parts)) + 1
+    words = np.zeros((lanes, width), np.uint16)
+    for k, (_, x) in enumerate(parts):
+        words[k, : len(x) // 2] = np.frombuffer(x[: len(x) // 2 * 2], "<u2")
+    flat = np.ascontiguousarray(words.T).reshape(-1)
+    start = words[:, :3].astype(np.float64)
+    code = (start[:, 0] * 65536 + start[:, 1]) * 65536 + start[:, 2]  # whole numbers under 2 ** 48, as is the range
+    model = _Model(lanes, find=True)
+    lane = np.arange(lanes)
+    rng, at = np.full(lanes, float(_FULL)), lane + 3 * lanes
+    last = lane + (width - 1) * lanes
+    no_class = lanes << SIZE_BITS
+    own_class = (lane << SIZE_BITS) - no_class
+    came = np.empty((4, lanes), np.int64)  # what each outcome would mean
+    rank_of = np.zeros((int(size_of[0]), lanes), np.int16)
     known = np.zeros(lanes, np.int64)
-
-    def put(i: np.ndarray) -> None:
-        own = at[i]
-        code[i] = code[i] << WORD | flat.take(own)
-        at[i] = np.minimum(own + lanes, last[i])
-
-    def decide(dist: np.ndarray, at: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Decode one decision each."""
-        got = dist[at]
-        cum = np.zeros((5, len(at)), np.int64)
-        cum[4] = 1 << BITS
-        _spread(got, cum)
-        r >>= BITS
-        outcome = (c >= cum[1] * r).astype(np.int64)
-        outcome += c >= cum[2] * r
-        outcome += c >= cum[3] * r
-        where = outcome * len(at) + np.arange(len(at))
-        a = cum.take(where)
-        c -= a * r
-        r *= cum.take(where + len(at)) - a
-        dist[at] = got + RAISE[outcome] - ((got >> RATE) & LOW)
-        return outcome
-
+    span = SPAN.astype(np.float64)
     for t, n in enumerate(_lengths(size_of)):
         cum = model.look(n)
         c, r = code[:n], rng[:n]
-        r >>= BITS
-        outcome = (c >= cum[1, :n] * r).astype(np.int64)
-        outcome += c >= cum[2, :n] * r
-        outcome += c >= cum[3, :n] * r
-        where = outcome * lanes
-        where += model.lane[:n]
-        a = cum.take(where)
-        where += lanes
+        r *= 1 / (1 << BITS)
+        np.floor(r, out=r)
+        place = (c / r).astype(np.int64)  # only a damaged block leaves a range; its checksum tells
+        outcome = (place >= (cum >> FIELD & (1 << FIELD) - 1)).astype(np.int64)
+        outcome += place >= (cum >> 2 * FIELD & (1 << FIELD) - 1)
+        outcome += place >= (cum >> 3 * FIELD & (1 << FIELD) - 1)
+        cum >>= outcome * FIELD
+        a = cum & (1 << FIELD) - 1
+        cum >>= FIELD
+        cum &= (1 << FIELD) - 1
+        cum -= a
         c -= a * r
-        r *= cum.take(where) - a
-        ids = np.where(outcome == HIT2, model.id[1], model.id[0]) - 1
-        i = np.flatnonzero(outcome == SEEN)
-        if len(i):
-            c_i, r_i = c[i], r[i]
-            size = decide(model.high, i, c_i, r_i)
-            size = size * 4 + decide(model.low, i * 4 + size, c_i, r_i)
-            rest = np.maximum(size - 1, 0)
-            r_i >>= rest
-            low = np.minimum(c_i // r_i, (1 << rest) - 1)
-            c[i], r[i] = c_i - low * r_i, r_i
-            rank = np.where(size > 0, low | (1 << rest), 0)
-            ids[i] = by_rank[first[i] + np.minimum(rank, BLOCK - 1)]
-        i = np.flatnonzero(outcome == NEW)
-        if len(i):
-            r_i = r[i] >> bits[i]
-            new = np.minimum(c[i] // r_i, most[i])  # only a damaged block leaves the alphabet; its checksum tells
-            c[i] -= new * r_i
-            r[i] = r_i
-            ids[i] = new
-            by_rank[first[i] + known[i]] = new
-            known[i] += 1
-        np.maximum(ids, 0, out=ids)
+        r *= cum
+        seen = outcome == SEEN
+        r *= 1 / (1 << SIZE_BITS)
+        np.floor(r, out=r)
+        place = (c / r).astype(np.int64)
+        np.minimum(place, (1 << SIZE_BITS) - 1, out=place)
+        np.maximum(place, 0, out=place)
+        place += own_class[:n]
+        place *= seen
+        place += no_class
+        size = model.class_of.take(place).astype(np.int64)
+        reach = span.take(size)
+        rank = reach - (size == 0)
+        size *= lanes
+        size += model.lane[:n]
+        own = model.sizes.take(size)
+        c -= (own & 255) * r
+        own >>= 8
+        r *= own
+        r /= reach
+        np.floor(r, out=r)
         np.maximum(r, 1, out=r)
-        _settle(r, put)
-        model.learn(outcome, ids)
-        ids_of[t, :n] = ids
+        below = np.floor(c / r)
+        reach -= 1
+        np.minimum(below, reach, out=below)
+        np.maximum(below, 0, out=below)
+        rank += below
+        below *= r
+        c -= below
+        came[HIT2, :n], came[HIT1, :n], came[NEW, :n], came[SEEN, :n] = model.id[1], model.id[0], known[:n], rank
+        found = outcome * lanes
+        found += lane[:n]
+        found = came.take(found)
+        found -= outcome < NEW
+        np.maximum(found, 0, out=found)
+        known[:n] += outcome == NEW
+        rank_of[t, :n] = found
+        short = r < _LEAST
+        while short.any():
+            word = flat.take(at[:n]) * short
+            move = short * 65535.0
+            move += 1
+            r *= move
+            c *= move
+            c += word
+            at[:n] += short * lanes
+            np.minimum(at[:n], last[:n], out=at[:n])
+            short = r < _LEAST
+        model.learn(outcome, found, size)
     out: list = [None] * len(coded)
+    rank_of = np.ascontiguousarray(rank_of.T)
     for k, i in enumerate(order):
-        out[i] = ids_of[: size_of[k], k]
+        new = np.minimum(parts[k][0], most[k]) if len(parts[k][0]) else np.zeros(1, np.int64)
+        out[i] = new.take(rank_of[k, : size_of[k]], mode="clip").astype(np.int32)
     return out
 
 
@@ -346,13 +453,25 @@ def _parts(items: list) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), size)]
 
 
+def _alphabet(plain: list[np.ndarray]) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """The ids that occur, ascending, and what gives an id's place among them."""
+    most = max((int(p.max()) for p in plain if len(p)), default=0)
+    if most >= 1 << 22:
+        known = np.unique(np.concatenate([np.unique(p) for p in plain]))
+        return known, lambda p: np.searchsorted(known, p)
+    occurs = np.zeros(most + 1, bool)
+    for p in plain:
+        occurs[p] = True
+    return np.flatnonzero(occurs).astype("<u4"), (np.cumsum(occurs, dtype=np.int32) - 1).take
+
+
 def write_records(records: list[tuple[list[int | None], list[bytes]]]) -> list[bytes]:
     """Records (document ids, those without first; their little-endian u32 ids) as bytes; all blocks are coded together."""
     plain = [np.frombuffer(b"".join(parts), "<u4") for _, parts in records]
-    known = np.unique(np.concatenate([np.unique(p) for p in plain])) if plain else np.empty(0, "<u4")
+    known, place = _alphabet(plain)
     blocks, at = [], []
     for p in plain:
-        dense = np.searchsorted(known, p).astype(np.int32)
+        dense = place(p).astype(np.int32)
         at.append((len(blocks), len(blocks) + -(-len(p) // BLOCK)))
         blocks += [dense[i : i + BLOCK] for i in range(0, len(p), BLOCK)]
     coded = []
@@ -404,6 +523,14 @@ def read_records(records: list[bytes]) -> list[tuple[list[int | None], list[byte
 
 
 GROUP = 16  # records coded together: LANES blocks or a few more
+TOGETHER = 1 << 22  # bytes of texts that are tokenized together, or one longer text
+
+
+def _cuts(texts: pa.Array) -> list[tuple[int, int]]:
+    """Bounds of runs of rows with about TOGETHER bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = np.flatnonzero(np.diff(ends // TOGETHER, prepend=-1)).tolist()
+    return list(zip(first, [*first[1:], len(texts)]))
 
 
 def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = TOKENIZER, end_id: int = 1) -> DataFrame:
@@ -429,9 +556,9 @@ def encode_column(docs: DataFrame, text: str = "text", key: str = "doc_id", toke
             return b
 
         for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                keys = b.column(0)[at : at + BATCH].to_pylist()
-                for doc, x in zip(keys, enc.encode(b.column(1)[at : at + BATCH].to_pylist())):
+            for at, stop in _cuts(b.column(1)):
+                keys = b.column(0)[at:stop].to_pylist()
+                for doc, x in zip(keys, enc.encode(b.column(1)[at:stop].to_pylist())):
                     ids[0].append(doc)
                     ids[1].append(x + end)
                     size += len(x) // 4 + 1

@@ -13,7 +13,12 @@ import os
 import re
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 KEPT = 400_000  # chunks that a worker remembers,
+KEPT_WORDS = 800_000  # or words, where white space is dropped,
 KEPT_BYTES = 1 << 25  # and bytes of them
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![\x80-\xff])"  # ASCII and Latin-1
 _BYTE_CHUNKS = re.compile(rb"\x20?[A-Za-z]++(?![\x80-\xff])|[\x20\x09-\x0d]*" + _LETTERS + rb"|[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -88,7 +93,11 @@ class Encoder:
 
     def fresh(self, part: bytes) -> bytes:
         """Ids of a chunk; where white space is dropped, of a word, which is cut into chunks."""
-        if self.lower:
+        if self.lower and part.isalpha():  # ASCII letters: one chunk, and the same ids in lower case
+            low = part.lower()
+            if low != part:
+                return self.known[low]
+        elif self.lower:
             chunks = self.chunks(part)
             if len(chunks) != 1 or chunks[0] != part:
                 return b"".join(map(self.known.__getitem__, chunks))
@@ -97,16 +106,31 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; where white space is dropped, whole words are remembered, and cut into chunks only when they are new."""
-        if len(self.known) > KEPT or self.known.held > KEPT_BYTES:
+        if len(self.known) > (KEPT_WORDS if self.lower else KEPT) or self.known.held > KEPT_BYTES:
             self.known.old = {}
             self.known = _Known(self, self.known)
         look = self.known.__getitem__
         raw = ((t or "").encode("utf-8", "replace") for t in texts)
         if self.lower:
-            return [b"".join(map(look, r.split())) for r in raw]
+            return self._by_word(list(raw))
         return [b"".join(map(look, self.chunks(r))) for r in raw]
 
 
+    def _by_word(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each text from those of its words; each distinct word of the texts is looked up once."""
+        words = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).view(pa.large_string()))
+        found = words.values.dictionary_encode()
+        ids = list(map(self.known.__getitem__, found.dictionary.view(pa.large_binary()).to_pylist()))
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        pool, start, word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n, found.indices.to_numpy()
+        own = n.take(word)
+        ends = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat(start.take(word) - ends[:-1], own)
+        at += np.arange(len(at))
+        flat, cut = pool.take(at).tobytes(), (4 * ends.take(words.offsets.to_numpy())).tolist()
+        return [flat[i:j] for i, j in zip(cut, cut[1:])]
+
+
 def encoder(name: str) -> Encoder:
     if name not in _LOADED:
         _LOADED[name] = Encoder(name)

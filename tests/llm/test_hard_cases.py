@@ -454,3 +454,30 @@ def test_placing_forgets_what_is_placed(monkeypatch):
             at += k
         assert at == n
     assert sum(sizes) < 0.8 * 600 * len(sizes)  # the pool's arrays grow shorter
+
+
+def test_words_are_tokenized_once_in_any_case():
+    from evidentia.llm import tokens
+
+    own = tokens.Encoder(rangecoder.TOKENIZER)
+    called, ids_of = [], own._ids
+    own._ids = lambda chunk: called.append(chunk) or ids_of(chunk)
+    texts = ["Lantern lantern LANTERN, x", None, "", " \n ", "lantern\x0blantern\x0cé É a b\x1cc  don't", "Lantern. lantern!"]
+    expected = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [list(np.frombuffer(x, "<u4")) for x in own.encode(texts)] == expected
+    assert sum(c.lower() == b"lantern" for c in called) == 1 and len(called) == len(set(called))
+
+
+def test_coder_learns_from_many_ids_at_a_time(monkeypatch):
+    mixed, own = [], rangecoder._Model._mix
+    monkeypatch.setattr(rangecoder._Model, "_mix", lambda self, n: mixed.append(n) or own(self, n))
+    rng = np.random.default_rng(5)
+    for bits in (1, 7, 15, 16, 17, 30):
+        alphabet = 1 << bits
+        blocks = [(rng.integers(0, alphabet, n) if k % 2 else np.arange(n) * 7 % min(alphabet, 30)).astype(np.int32) for k, n in enumerate([rangecoder.BLOCK, rangecoder.BLOCK, 1, 17, 300])]
+        mixed.clear()
+        coded = rangecoder.encode_blocks(blocks, alphabet)
+        assert len(mixed) <= 5 + rangecoder.BLOCK // 100
+        assert all((a == b).all() for a, b in zip(rangecoder.decode_blocks(coded, [len(b) for b in blocks], alphabet), blocks))
+        assert [rangecoder.encode_blocks([b], alphabet)[0] for b in blocks] == coded
+        assert len(coded[0]) < rangecoder.BLOCK / 6
