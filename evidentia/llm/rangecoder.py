@@ -9,7 +9,7 @@ not had, or one that it has had. The decision is coded under a mixture of three
 one for the block (order 0) and one for each prediction, chosen by how well that prediction did of
 late; the mixture's weights follow whichever predicts best. An id that the block has had goes on by the
 size class of its rank (order 0, adaptive) and the rank's lower bits. Distributions and weights learn
-from all ids since the last time, after 8, 16, 32 and 64 ids and then every LEARN; predictions with every id.
+from all ids since the last time, at first after 8 ids, at last after LEARN; predictions learn from every id.
 All arithmetic is on whole numbers, quotients being taken of numbers under 2 ** 53, so any machine
 decodes what another wrote.
 
@@ -58,7 +58,7 @@ CLASS = np.array([x.bit_length() for x in range(BLOCK)], np.uint8)  # of a rank;
 REST = np.array([max(x - 1, 0) for x in range(SIZES)] + [0])
 SPAN = 1 << REST
 STATES = 18  # of both predictions: none, without credit, with credit; and whether they agree
-LEARN = 128
+LEARN = 192
 LIMIT = 400  # a distribution's counts are halved beyond
 FIELD, BITS, SIZE_BITS = 12, 11, 7  # of a cumulative frequency; of a decision's and of a size class's range
 WEIGHT, SHARE = 512, 480  # sum of the weights, what is shared by merit

@@ -25,6 +25,7 @@ _BYTE_CHUNKS = re.compile(rb"\x20?[A-Za-z]++(?![\x80-\xff])|[\x20\x09-\x0d]*" +
 _WORD_CHUNKS = re.compile(rb"[A-Za-z]++(?![\x80-\xff])|" + _LETTERS + rb"|[^\x20\x09-\x0d]+")
 _ONE = re.compile(rb"\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+_KINDS = bytes(1 if chr(b).isalpha() else 7 if b in b" \t\n\v\f\r" else 2 for b in range(128)) + bytes([7]) * 128  # letters, other ASCII, the rest
 BATCH = 128  # texts that are encoded together
 _LOADED: dict[str, Encoder] = {}
 
@@ -69,6 +70,8 @@ class Encoder:
         self.lower = self._drops_space()
         self.direct = all(self._by_model(p) == self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in probes if not (self.lower and p[:1] == b" "))
         self.known = _Known(self, {})
+        self.folds = self.lower and len({tuple(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in ("word don't", "Word DON'T")}) == 1
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _drops_space(self) -> bool:
         ids = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a  b\n", "a\tb")]
@@ -93,7 +96,7 @@ class Encoder:
 
     def fresh(self, part: bytes) -> bytes:
         """Ids of a chunk; where white space is dropped, of a word, which is cut into chunks."""
-        if self.lower and part.isalpha():  # ASCII letters: one chunk, and the same ids in lower case
+        if self.folds and part.isalpha():  # ASCII letters: one chunk
             low = part.lower()
             if low != part:
                 return self.known[low]
@@ -117,8 +120,19 @@ class Encoder:
 
 
     def _by_word(self, raw: list[bytes]) -> list[bytes]:
-        """Ids of each text from those of its words; each distinct word of the texts is looked up once."""
-        words = pc.ascii_split_whitespace(pa.array(raw, pa.large_binary()).view(pa.large_string()))
+        """Ids of each text from those of its words; each distinct word of the texts is looked up once.
+
+        Letters are parted from a following ASCII character that is none, as chunks are, and ASCII is lower-cased
+        unless a combining mark (U+0300 on) might make one character of a small letter only; added tokens stay whole.
+        """
+        flat, ends = b"\n".join([*raw, b""]), np.cumsum([0, *(len(r) + 1 for r in raw)])
+        if not any(t in flat for t in self.added):
+            if self.folds and b"\xcc" not in flat and b"\xcd" not in flat:
+                flat = flat.lower()
+            kind = np.frombuffer(flat.translate(_KINDS), np.uint8)
+            at = np.flatnonzero(kind[:-1] * 2 == kind[1:]) + 1
+            flat, ends = np.insert(np.frombuffer(flat, np.uint8), at, 32), ends + np.searchsorted(at, ends)
+        words = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(raw), pa.py_buffer(ends), pa.py_buffer(flat)))
         found = words.values.dictionary_encode()
         ids = list(map(self.known.__getitem__, found.dictionary.view(pa.large_binary()).to_pylist()))
         n = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
@@ -127,8 +141,8 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(own)])
         at = np.repeat(start.take(word) - ends[:-1], own)
         at += np.arange(len(at))
-        flat, cut = pool.take(at).tobytes(), (4 * ends.take(words.offsets.to_numpy())).tolist()
-        return [flat[i:j] for i, j in zip(cut, cut[1:])]
+        out, cut = pool.take(at).tobytes(), (4 * ends.take(words.offsets.to_numpy())).tolist()
+        return [out[i:j] for i, j in zip(cut, cut[1:])]
 
 
 def encoder(name: str) -> Encoder:

@@ -466,6 +466,15 @@ def test_words_are_tokenized_once_in_any_case():
     expected = [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [list(np.frombuffer(x, "<u4")) for x in own.encode(texts)] == expected
     assert sum(c.lower() == b"lantern" for c in called) == 1 and len(called) == len(set(called))
+    called.clear()
+    own.encode(["Lantern? (LANTERN) lantern7", "q1 q2 q3 q4"])  # letters are parted from what follows them
+    assert b"lantern" not in called and own.known.keys() >= {b"q", b"7", b"4"} and b"q4" not in own.known
+    r = random.Random(8)
+    odd = ["H\u0331", "h\u0331", "W\u030a.", "<|endoftext|>", "<|EndOfText|>", "don'T", "X'S", "é", "É.", "\u212a", "\u0130", "x1Y", "aΣ.Σb", "日本,A", " ", "\n", "\x1c", "\u00a0", "A", "b", "!", "\ud800", "ẖ"]
+    texts = ["".join(r.choices(odd, k=r.randint(0, 7))) for _ in range(1500)]
+    for k in (1, 40):
+        found = [list(np.frombuffer(x, "<u4")) for at in range(0, len(texts), k) for x in own.encode(texts[at : at + k])]
+        assert found == [own.tokenizer.encode(t.encode("utf-8", "replace").decode(), add_special_tokens=False).ids for t in texts]
 
 
 def test_coder_learns_from_many_ids_at_a_time(monkeypatch):
