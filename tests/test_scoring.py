@@ -93,3 +93,33 @@ def test_blocks_together_give_the_best(monkeypatch, want):
                 hits.append((-np.floor(score * 1e6 + 0.5) / 1e6, int(ids[i]), len(own), len(a)))
         whole = [h for h in hits if h[2] == h[3]]
         assert sorted(got[q]) == sorted(hits if want == "any" or want == "either" and not whole else whole)[:k]
+
+
+@pytest.mark.parametrize("positive", [True, False])
+def test_nearest_vectors_as_in_sql(spark, tmp_path, monkeypatch, positive):
+    """Null, zero and shorter vectors, ties and opposite ones; queries in several parts."""
+    monkeypatch.setattr(scoring, "NUMBERS", 12)
+    path, c = tables(tmp_path, [(0, "x")], ["a", "b", "c", "d", "e"])
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=4).astype(np.float32).tolist()) for i in range(60)] + [(60 + i, v) for i, v in enumerate(([0.0] * 4, None, [1.0, 2.0], [], [1.0, None, 0.0, 0.0], [-1.0, -2.0, -3.0, -4.0]))] + [(70 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(8)]
+    rows[3] = (3, [1.0, 0.0, 0.0, 0.0])
+    rows[4] = (4, [0.0, 0.0, 0.0, 0.0])
+    c.execute("create table embeddings (vec_id bigint, embedding float[])")
+    c.executemany("insert into embeddings values (?, ?)", rows)
+    c.execute(f"copy embeddings to '{path}/embeddings.parquet' (format parquet)")
+    got, want = both(spark, path, c, lambda p: R.cosine(p, k=6, drop_zero=positive), "select query_id, card_id, score, rank from cosine")
+    assert got == want and len(got) >= (24 if positive else 30)
+    p = Pipe(SPARK)
+    R.cosine(p, k=6, drop_zero=positive)
+    assert registry.run_pipe(spark, path, p, "select * from cosine_rows").count() < 5 * len(rows)
+
+
+def test_author_source_rows_do_not_grow_with_the_cards(spark, tmp_path):
+    """Also repeated ids, and a term that stands in nearly every text."""
+    cards = [(i, f"text {i}") for i in range(900)] + [(5, "again"), (5, "and again"), (None, "no id")]
+    path, c = tables(tmp_path, cards, ["a journal of Adler 2004", "o", "brook's 1985 src", "'", "xyz", "", "r"])
+    got, want = both(spark, path, c, R.author_source, "select query_id, card_id, rank from author_source where card_id is not null")
+    assert got == want and got
+    p = Pipe(SPARK)
+    R.author_source(p)
+    assert registry.run_pipe(spark, path, p, "select * from author_source_rows").count() < 7 * 8 * 22 < 3 * 900
