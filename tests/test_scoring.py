@@ -123,3 +123,13 @@ def test_author_source_rows_do_not_grow_with_the_cards(spark, tmp_path):
     p = Pipe(SPARK)
     R.author_source(p)
     assert registry.run_pipe(spark, path, p, "select * from author_source_rows").count() < 7 * 8 * 22 < 3 * 900
+
+
+def test_passages_are_found_wherever_they_stand():
+    r = np.random.default_rng(4)
+    bodies = ["".join(r.choice(list("abé \n"), r.integers(0, 60))) for _ in range(3000)] + [None, "", "abcdefgh", "abcdefghabcdefgh"]
+    passages = [b[i : i + n] for b, i, n in zip(bodies[:200], r.integers(0, 20, 200), r.integers(1, 30, 200))] + ["abcdefgh", "", "not there at all"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int64()), pa.array(bodies)], ["card_id", "body"])
+    out = [(x["query_id"], x["card_id"]) for b in scoring._holding(iter([batch]), pa.array(range(len(passages)), pa.int64()), [p.encode() for p in passages]) for x in b.to_pylist()]
+    want = [(i, j) for i, p in enumerate(passages) for j, b in enumerate(bodies) if b is not None and p in b]
+    assert sorted(out) == want and len(want) > 200
