@@ -133,3 +133,9 @@ def test_passages_are_found_wherever_they_stand():
     out = [(x["query_id"], x["card_id"]) for b in scoring._holding(iter([batch]), pa.array(range(len(passages)), pa.int64()), [p.encode() for p in passages]) for x in b.to_pylist()]
     want = [(i, j) for i, p in enumerate(passages) for j, b in enumerate(bodies) if b is not None and p in b]
     assert sorted(out) == want and len(want) > 200
+
+
+def test_evidence_strength_writes_nothing(spark, tmp_path, monkeypatch):
+    path, _ = tables(tmp_path, [(1, "some text")])
+    monkeypatch.setattr(registry, "materialise", lambda df, name: pytest.fail(f"{name} is written"))
+    assert [r.card_id for r in registry.run(spark, path, "evidence_strength").collect()] == [1]
